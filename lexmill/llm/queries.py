@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lexmill.llm import rank_queries, term_queries
+
+MODULES = [term_queries, rank_queries]
 
 
 def queries() -> dict:
