@@ -81,9 +81,11 @@ COMMON: list[Rule] = [
     _rule(False, rf"[.?!…]{_CLOSE}", r"\s*[,;:]|\s+[a-z&–—-]"),
     _rule(True, rf"[.?!…।॥۔؟。！？]{_CLOSE}", r"\s|$|[ऀ-ॿ஀-௿؀-ۿ一-鿿]"),
 ]
+_CASCADE = {lang: [*rules, *COMMON] for lang, rules in TABLES.items()}
 _CANDIDATE = re.compile(rf"[.?!।॥۔؟。！？…|]+{_CLOSE}(?<!\|\|)")
 _LINE = re.compile(r"[ \t\r]*\n\s*")
-_HEAD = 80
+#: Characters on either side that a rule may look at; no abbreviation is as long.
+_HEAD = 24
 #: A quotation or bracket counts as one if it closes on the same line within so many characters.
 SPAN = 600
 _PAIRS = {"“": "”", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "‘": "’"}
@@ -131,12 +133,13 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _decide(text: str, at: int) -> bool:
+def _decide(text: str, at: int, ascii_only: bool) -> bool:
     before = text[max(0, at - _HEAD) : at]
     after = text[at : at + _HEAD]
-    if before.endswith("|") and language(text, at) != "hi":
+    lang = "en" if ascii_only else language(text, at)
+    if before.endswith("|") and lang != "hi":
         return False
-    for rule in (*TABLES.get(language(text, at), ()), *COMMON):
+    for rule in _CASCADE[lang]:
         if rule.before.search(before) and rule.after.match(after):
             return rule.breaks
     return False
@@ -155,6 +158,7 @@ def _line_breaks(text: str, start: int, end: int) -> bool:
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence; every character that is not blank lies in exactly one."""
     inside = _enclosed(text)
+    ascii_only = text.isascii()
     cuts = []
     k = 0
     opens = {s for s, _ in inside}
@@ -165,7 +169,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
             k += 1
         if k < len(inside) and inside[k][0] < at <= inside[k][1]:
             continue
-        if _line_breaks(text, m.start(), m.end()) if line else _decide(text, at):
+        if _line_breaks(text, m.start(), m.end()) if line else _decide(text, at, ascii_only):
             cuts.append(at)
     spans = []
     start = 0
