@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.llm import leak_queries, mixture_queries, name_queries, rank_queries, sentence_queries, term_queries, truncation_queries
+from lexmill.llm import leak_queries, mixture_queries, name_queries, rank_queries, scan_queries, sentence_queries, term_queries, truncation_queries
 
-MODULES = [term_queries, rank_queries, sentence_queries, name_queries, leak_queries, mixture_queries, truncation_queries]
+MODULES = [term_queries, rank_queries, scan_queries, sentence_queries, name_queries, scan_queries, leak_queries, mixture_queries, truncation_queries]
 
 
 def queries() -> dict:
