@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus_queries, index_queries, law_queries, orphan_queries, rank_eval_queries
+from lexmill.plans import corpus_queries, index_queries, law_queries, orphan_queries, rank_eval_queries, rank_queries
 
-MODULES = [orphan_queries, index_queries, rank_eval_queries, law_queries, corpus_queries]
+MODULES = [orphan_queries, index_queries, rank_eval_queries, law_queries, corpus_queries, rank_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_queries.p1_report(spark, sf_dir)
+    return rank_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
