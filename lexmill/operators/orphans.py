@@ -47,7 +47,7 @@ def month_no(at: Column) -> Column:
 
 
 def month_name(no: Column) -> Column:
-    return F.format_string("%04d-%02d", F.floor(no / 12).cast("int"), (no % 12 + 1).cast("int"))
+    return F.when(no.isNotNull(), F.format_string("%04d-%02d", F.floor(no / 12).cast("int"), (no % 12 + 1).cast("int")))
 
 
 def _month_start(no: Column) -> Column:
