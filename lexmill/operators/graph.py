@@ -11,7 +11,9 @@ from lexmill.session import materialise
 DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-10, 200
 MAX_BENCH, UNKNOWN_BENCH = 7, 2
 #: Iterations between two tables in the shared folder.
-CUT = 5
+CUT = 2
+#: The same for steps that read their input once.
+STEPS = 10
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -27,11 +29,24 @@ def _step(edges: DataFrame, nodes: DataFrame, pr: DataFrame, n: int) -> DataFram
     return all_.select("id", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pr"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int | None = None) -> DataFrame:
-    """(id, pr), summing to 1: a fixed number of iterations, or until the change is below the tolerance.
+def _without_loose(edges: DataFrame, nodes: DataFrame, y: DataFrame, n: int) -> DataFrame:
+    """One step that leaves the mass of nodes without an out-edge aside: it reads ``y`` once, so steps chain without doubling the plan."""
+    sent = edges.join(y, edges["src"] == y["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("got"))
+    return nodes.join(sent, "id", "left").select("id", ((1 - DAMPING) / n + DAMPING * F.coalesce("got", F.lit(0.0))).alias("pr"))
 
-    The tables of every few iterations are written to the shared folder, so the
-    plan stays short and a lost executor costs a re-read.
+
+def _scaled(y: DataFrame) -> DataFrame:
+    total = y.agg(F.sum("pr").alias("total"))
+    return y.join(F.broadcast(total), F.lit(True)).select("id", (F.col("pr") / F.col("total")).alias("pr"))  # one row
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(id, pr), summing to 1: a fixed number of power iterations, or until the change is below the tolerance.
+
+    Spreading the mass of nodes without an out-edge evenly only scales the
+    result, so the converging form solves the system without it and scales at
+    the end.  Every few steps a table is written to the shared folder: the plan
+    stays short, and a lost executor costs a re-read.
     """
     merged = merged_edges(edges)
     out = merged.groupBy("src").agg(F.sum("w").alias("total"))
@@ -44,16 +59,24 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int |
     if n == 0:
         return ids.withColumn("pr", F.lit(0.0))
     pr = ids.withColumn("pr", F.lit(1.0 / n))
-    for i in range(1, (iterations or ITERATIONS) + 1):
-        new = _step(shared, ids, pr, n)
-        if i % CUT == 0:
-            new = materialise(new, "pagerank")
-            if iterations is None:
-                change = new.join(pr.withColumnRenamed("pr", "old"), "id").agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0]
-                if change < TOLERANCE:
-                    return new
+    if iterations is not None:
+        for i in range(1, iterations + 1):
+            pr = _step(shared, ids, pr, n)
+            if i % CUT == 0:
+                pr = materialise(pr, "pagerank")
+        return pr
+    total = 1.0
+    for _ in range(ITERATIONS // STEPS):
+        new = pr
+        for _ in range(STEPS):
+            new = _without_loose(shared, ids, new, n)
+        new = materialise(new, "pagerank")
+        was, total = total, new.agg(F.sum("pr")).first()[0]
+        change = new.join(pr.withColumnRenamed("pr", "old"), "id").agg(F.sum(F.abs(F.col("pr") / total - F.col("old") / was))).first()[0]
         pr = new
-    return pr
+        if change < tolerance:
+            break
+    return _scaled(pr)
 
 
 def bench_weight(bench: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators import boolean, fusion, graph, index, scoring, statutes, treatment
+from lexmill.operators import boolean, fusion, index, scoring, statutes, treatment
 
 #: Best hits that are ranked.
 CANDIDATES = 100
@@ -16,13 +16,12 @@ CANDIDATES = 100
 @dataclass(frozen=True)
 class Corpus:
     """The tables a ranking reads.  ``zones``: (doc_id, zone, text); ``texts``: (doc_id, date, text);
-    ``citations``: (doc_id, citing_doc, label, confidence, valid, in_headnote, citing_bench); ``edges``: (src, dst, w); ``benches``: (id, bench)."""
+    ``citations``: (doc_id, citing_doc, label, confidence, valid, in_headnote, citing_bench); ``authority``: (id, authority), computed when the corpus is built."""
 
     zones: DataFrame
     texts: DataFrame
     citations: DataFrame
-    edges: DataFrame
-    benches: DataFrame
+    authority: DataFrame
 
 
 def signals(corpus: Corpus, query: str, offence_date: str | None = None, n: int = CANDIDATES) -> DataFrame:
@@ -39,7 +38,7 @@ def signals(corpus: Corpus, query: str, offence_date: str | None = None, n: int
     refs = statutes.references(statutes.resolve_acts(statutes.mentions(texts), statutes.section_families(mapping)), statutes.provisions(mapping))
     cont = statutes.query_continuity(hits, refs, statutes.map_pairs(mapping), statutes.parse_query(query, offence_date)[0])
     health = treatment.health(corpus.citations, hits)
-    auth = graph.authority(graph.pagerank(corpus.edges, iterations=20), corpus.benches).select(F.col("id").alias("doc_id"), F.col("authority").alias("auth"))
+    auth = corpus.authority.select(F.col("id").alias("doc_id"), F.col("authority").alias("auth"))
     out = hits.join(cont, "doc_id", "left").join(health, "doc_id", "left").join(auth, "doc_id", "left")
     return out.select(F.lit(query).alias("qid"), "doc_id", "rel", "cont", "health", F.coalesce("auth", F.lit(0.0)).alias("auth"), "cont_why")
 

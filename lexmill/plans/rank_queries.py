@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import classifier, evaluation, index, zones
+from lexmill.operators import classifier, evaluation, graph, index, zones
 from lexmill.operators.ranking import Corpus, rank, signals
 from lexmill.plans import law_queries
 from lexmill.session import load
@@ -15,7 +15,8 @@ QUERY = "confession AND (murder OR recovery OR evidence)"
 
 def corpus(spark: SparkSession, sf: str) -> Corpus:
     z = index.zone_texts(load(spark, sf, "judgments").select("doc_id", "zones"))
-    return Corpus(z, law_queries._docs(spark, sf), law_queries._citations(spark, sf), law_queries._edges(spark, sf), law_queries._benches(spark, sf))
+    auth = graph.authority(graph.pagerank(law_queries._edges(spark, sf), tolerance=1e-6), law_queries._benches(spark, sf))
+    return Corpus(z, law_queries._docs(spark, sf), law_queries._citations(spark, sf), auth)
 
 
 def rank_full(spark, sf):
