@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: The folder that holds this package.
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Months and dates are those of UTC in every session."""
+    """Months and dates are those of UTC in every session, and Python workers find this package wherever they start."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
 
 
