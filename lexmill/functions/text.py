@@ -160,3 +160,41 @@ def parse_grade(raw: Column) -> Column:
 
 def bad_grade(raw: Column) -> Column:
     return (F.trim(raw) != "") & parse_grade(raw).isNull()
+
+
+def marked_window(text: Column, start: Column, end: Column, lo: Column, hi: Column) -> Column:
+    """The text from ``lo`` to ``hi`` with the mention from ``start`` to ``end`` between double brackets; offsets from 0."""
+    part = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    return F.concat(part(lo, start), F.lit("[["), part(start, end), F.lit("]]"), part(end, hi))
+
+
+def local_context(window: Column, reach: int = 150) -> Column:
+    """The marked mention with ``reach`` characters on either side, without its marks."""
+    at = F.instr(window, "[[")
+    stop = F.instr(window, "]]")
+    first = F.greatest(at - reach, F.lit(1))
+    return F.when((at > 0) & (stop > at), F.replace(F.replace(F.substring(window, first, stop + 2 + reach - first), F.lit("[["), F.lit("")), F.lit("]]"), F.lit("")))
+
+
+def body_offset(text: Column) -> Column:
+    """Where the first line on jurisdiction begins, from 0; 0 without one."""
+    return F.greatest(F.regexp_instr(text, F.lit(r"\b(?:CRIMINAL|CIVIL|APPELLATE|ORIGINAL|ADVISORY|EXTRAORDINARY|INHERENT)(?:\s+[A-Z]{4,})?\s+JURISDICTION\b")) - 1, F.lit(0))
+
+
+def content_terms(query: Column, most: int = 6) -> Column:
+    """The first telling words of a query, each once."""
+    return F.slice(F.array_distinct(F.filter(tokens(query), lambda t: ~t.rlike("^[0-9]"))), 1, most)
+
+
+def section_numbers(query: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(query, F.lit(r"\b([0-9]{1,4}[A-Za-z]?)\b"), F.lit(1)))
+
+
+def years(spec: str) -> list[int]:
+    """``2025-2015,2012`` as years, ranges in the direction written."""
+    out: list[int] = []
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        a, _, b = part.partition("-")
+        lo, hi = int(a), int(b or a)
+        out += range(lo, hi + 1) if lo <= hi else range(lo, hi - 1, -1)
+    return out

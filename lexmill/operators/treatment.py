@@ -89,3 +89,35 @@ def stratified_sample(windows: DataFrame, total: int, seed: int) -> DataFrame:
     at = F.coalesce(*[F.when(F.col("bucket") == k, n) for k, n in quota.items()])
     order = Window.partitionBy("bucket").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "id"), 256), "id")
     return windows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= at)
+
+
+def batch_labels(windows: DataFrame, call, batch: int = 30) -> DataFrame:
+    """(key, label, confidence) of uncached windows by an injected labeller: ``call`` takes a list of texts and gives JSON.
+
+    The answer is parsed strictly: an item whose label or confidence cannot be
+    read is NULL, so that it stays uncached and is asked again.
+    """
+    import pandas as pd
+
+    def ask(batches):
+        for b in batches:
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                yield pd.DataFrame({"key": part["key"], "answer": list(call(list(part["window"])))})
+
+    answers = windows.select("key", "window").distinct().mapInPandas(ask, "key string, answer string")
+    parsed = answers.withColumn("a", F.from_json("answer", "label string, confidence double"))
+    return parsed.select("key", F.col("a.label").alias("label"), F.when(F.col("a.confidence").between(0, 1), F.col("a.confidence")).alias("confidence"))
+
+
+def merged_gold(a: DataFrame, b: DataFrame, settled: DataFrame) -> DataFrame:
+    """(window_id, label, state) of two labelling sheets: agreed, adjudicated, unresolved, or only in one of them."""
+    both = a.select("window_id", F.col("label").alias("la")).join(b.select("window_id", F.col("label").alias("lb")), "window_id", "full_outer")
+    all_ = both.join(settled.select("window_id", F.col("label").alias("ls")), "window_id", "left")
+    state = F.when(F.col("la").isNull() | F.col("lb").isNull(), "missing").when(F.col("la") == F.col("lb"), "agreed").when(F.col("ls").isNotNull(), "adjudicated").otherwise("unresolved")
+    return all_.select("window_id", F.when(state == "agreed", F.col("la")).when(state == "adjudicated", F.col("ls")).alias("label"), state.alias("state"))
+
+
+def both_sides(rows: DataFrame, by: str, label: str, one: str, other: str) -> DataFrame:
+    """Groups that have both labels."""
+    return rows.groupBy(by).agg(F.bool_or(F.col(label) == one).alias("_a"), F.bool_or(F.col(label) == other).alias("_b")).filter(F.coalesce(F.col("_a") & F.col("_b"), F.lit(False))).select(by)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus_queries, index_queries, law_queries, orphan_queries, rank_eval_queries, rank_queries
+from lexmill.plans import corpus_queries, index_queries, law_queries, more_queries, orphan_queries, rank_eval_queries, rank_queries
 
-MODULES = [orphan_queries, index_queries, rank_eval_queries, law_queries, corpus_queries, rank_queries]
+MODULES = [orphan_queries, index_queries, rank_eval_queries, law_queries, corpus_queries, more_queries, rank_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
