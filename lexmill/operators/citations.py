@@ -74,7 +74,7 @@ def title_stopwords(titles: DataFrame) -> DataFrame:
     """(token, df): title words in at least 5 titles and more than 2 % of them."""
     n = titles.agg(F.countDistinct("doc_id").alias("n"))
     df = titles.select("doc_id", F.explode(party_tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
-    return df.join(F.broadcast(n), F.lit(True)).filter((F.col("df") >= STOP_LEAST) & (F.col("df") > STOP_SHARE * F.col("n"))).select("token", "df")
+    return df.filter((F.col("df") >= STOP_LEAST) & (F.col("df") > STOP_SHARE * n.scalar())).select("token", "df")
 
 
 def by_name(names: DataFrame, titles: DataFrame, year: str | None = None) -> DataFrame:

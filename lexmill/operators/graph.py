@@ -25,7 +25,7 @@ def _step(edges: DataFrame, nodes: DataFrame, pr: DataFrame, n: int) -> DataFram
     """One iteration: the mass of nodes without an out-edge is spread over all."""
     sent = edges.join(pr, edges["src"] == pr["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("got"))
     dangling = pr.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("loose"))
-    all_ = nodes.join(sent, "id", "left").join(F.broadcast(dangling), F.lit(True))  # one row
+    all_ = nodes.join(sent, "id", "left").withColumn("loose", dangling.scalar())
     return all_.select("id", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pr"))
 
 
@@ -37,7 +37,7 @@ def _without_loose(edges: DataFrame, nodes: DataFrame, y: DataFrame, n: int) ->
 
 def _scaled(y: DataFrame) -> DataFrame:
     total = y.agg(F.sum("pr").alias("total"))
-    return y.join(F.broadcast(total), F.lit(True)).select("id", (F.col("pr") / F.col("total")).alias("pr"))  # one row
+    return y.select("id", (F.col("pr") / total.scalar()).alias("pr"))
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -88,6 +88,6 @@ def authority(pr: DataFrame, benches: DataFrame) -> DataFrame:
     """(id, authority): ln(1 + N * PageRank * bench weight), scaled to a largest of 1."""
     raw = pr.join(benches, "id", "left").select("id", "pr", bench_weight(F.col("bench")).alias("bw"))
     n = pr.agg(F.count(F.lit(1)).alias("n"))
-    scored = raw.join(F.broadcast(n), F.lit(True)).withColumn("a", F.log1p(F.col("n") * F.col("pr") * F.col("bw")))
+    scored = raw.withColumn("a", F.log1p(n.scalar() * F.col("pr") * F.col("bw")))
     top = scored.agg(F.max("a").alias("top"))
-    return scored.join(F.broadcast(top), F.lit(True)).select("id", F.coalesce(F.col("a") / F.nullif("top", F.lit(0.0)), F.lit(0.0)).alias("authority"))
+    return scored.select("id", F.coalesce(F.col("a") / F.nullif(top.scalar(), F.lit(0.0)), F.lit(0.0)).alias("authority"))

@@ -34,7 +34,7 @@ def bm25_zone(pos: DataFrame, zones: DataFrame, words: list[str]) -> DataFrame:
     size = lengths(zones)
     n = size.agg(F.countDistinct("doc_id").alias("n"))
     avg = size.groupBy("zone").agg(F.sum("len").alias("total"))
-    table = hits.join(size, ["doc_id", "zone"]).join(F.broadcast(df), "term").join(F.broadcast(avg), "zone").join(F.broadcast(n))  # one row
+    table = hits.join(size, ["doc_id", "zone"]).join(F.broadcast(df), "term").join(F.broadcast(avg), "zone").withColumn("n", n.scalar())
     part = table.withColumn("s", _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf"), F.col("len"), F.col("total") / F.col("n")))
     zone = {z: F.coalesce(F.sum(F.when(F.col("zone") == z, F.col("s"))), F.lit(0.0)) for z in ZONES}
     out = part.groupBy("doc_id").agg(*[c.alias(z) for z, c in zone.items()])
@@ -48,7 +48,7 @@ def bm25_flat(pos: DataFrame, zones: DataFrame, words: list[str]) -> DataFrame:
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = lengths(zones).groupBy("doc_id").agg(F.sum("len").alias("len"))
     whole = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    table = hits.join(F.broadcast(df), "term").join(size, "doc_id").join(F.broadcast(whole))  # one row
+    table = hits.join(F.broadcast(df), "term").join(size, "doc_id").withColumns({"n": whole.select("n").scalar(), "avg": whole.select("avg").scalar()})
     return table.groupBy("doc_id").agg(F.sum(F.col("qtf") * _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf"), F.col("len"), F.col("avg"))).alias("score"))
 
 
@@ -59,9 +59,10 @@ def okapi(pos: DataFrame, zones: DataFrame, words: list[str], epsilon: float = 0
     vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = lengths(zones).groupBy("doc_id").agg(F.sum("len").alias("len"))
     whole = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    idf = vocab.join(F.broadcast(whole)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
+    n = whole.select("n").scalar()
+    idf = vocab.withColumn("idf", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    mine = idf.join(F.broadcast(q), "term").join(F.broadcast(mean)).select("term", "qtf", "avg", F.when(F.col("idf") < 0, F.col("mean") * epsilon).otherwise(F.col("idf")).alias("idf"))
+    mine = idf.join(F.broadcast(q), "term").select("term", "qtf", whole.select("avg").scalar().alias("avg"), F.when(F.col("idf") < 0, mean.scalar() * epsilon).otherwise(F.col("idf")).alias("idf"))
     return tf.join(F.broadcast(mine), "term").join(size, "doc_id").groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * _saturated(F.col("tf"), F.col("len"), F.col("avg"))).alias("score"))
 
 
@@ -70,9 +71,9 @@ def lnc_ltc(pos: DataFrame, words: list[str]) -> DataFrame:
     q = _query(pos, words)
     hits = pos.join(F.broadcast(q), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("qtf").alias("qtf"))
     n = pos.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    weight = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("qtf").alias("qtf")).join(F.broadcast(n)).select("term", ((1 + F.log10("qtf")) * F.log10(F.col("n") / F.col("df"))).alias("wq"))
+    weight = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("qtf").alias("qtf")).select("term", ((1 + F.log10("qtf")) * F.log10(n.scalar() / F.col("df"))).alias("wq"))
     norm = weight.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
-    table = hits.join(F.broadcast(weight), "term").join(F.broadcast(norm)).join(doc_norms(pos), "doc_id")
+    table = hits.join(F.broadcast(weight), "term").join(doc_norms(pos), "doc_id").withColumn("qnorm", norm.scalar())
     return table.groupBy("doc_id").agg(F.coalesce(F.sum((1 + F.log10("tf")) / F.col("norm") * F.col("wq") / F.nullif("qnorm", F.lit(0.0))), F.lit(0.0)).alias("score"))
 
 

@@ -102,7 +102,7 @@ def pagerank(spark, sf):
     """To convergence, scaled to a largest of 1."""
     pr = graph.pagerank(_edges(spark, sf))
     top = pr.agg(F.max("pr").alias("top"))
-    return pr.join(F.broadcast(top), F.lit(True)).select("id", F.round(F.col("pr") / F.col("top"), 9).alias("pr"))
+    return pr.select("id", F.round(F.col("pr") / top.scalar(), 9).alias("pr"))
 
 
 def _benches(spark, sf) -> DataFrame:
