@@ -226,7 +226,7 @@ ORACLE = {
     "vocab_df": f"{_W} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term",
     "top_terms": f"{_W} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term ORDER BY df DESC, term LIMIT 20",
     "doc_norms": f"{_W}, t AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL) SELECT doc_id, round(sqrt(sum(pow(1 + log10(tf), 2))), 6) AS norm FROM t GROUP BY doc_id",
-    "zone_stats": f"{_W}, n AS (SELECT count(DISTINCT doc_id) AS docs FROM size) SELECT any_value(docs) AS docs, sum(len) AS tokens, round(sum(len) / any_value(docs), 6) AS avg_len, {', '.join(f"round(coalesce(sum(len) FILTER (zone = '{x}'), 0) / any_value(docs), 6) AS avg_{x}" for x in index.ZONES)} FROM size CROSS JOIN n",
+    "zone_stats": f"{_W}, n AS (SELECT count(DISTINCT doc_id) AS docs FROM size) SELECT any_value(docs) AS docs, sum(len)::BIGINT AS tokens, round(sum(len) / any_value(docs), 6) AS avg_len, {', '.join(f"round(coalesce(sum(len) FILTER (zone = '{x}'), 0) / any_value(docs), 6) AS avg_{x}" for x in index.ZONES)} FROM size CROSS JOIN n",
     "postings_in_zone": f"{_W} SELECT doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p WHERE term = 'confession' GROUP BY doc_id HAVING count(*) FILTER (zone = 'holding') > 0",
     "top_documents": f"{_W} SELECT doc_id, count(*) AS tf FROM p WHERE term = 'confession' GROUP BY doc_id ORDER BY tf DESC, doc_id LIMIT 12",
     "naive_differs": f"{_W} SELECT doc_id FROM z WHERE false",
