@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.stem import stemmed
+from lexmill.functions.text import LEGAL, LEGAL_NUMBER, STOP
 from lexmill.operators import boolean, index, scoring
-from lexmill.plans.sqltext import WEIGHT_CASE, ZONE_CTE, words
+from lexmill.plans.sqltext import WEIGHT_CASE, ZONE_CTE, raw_tokens_of, words
 from lexmill.session import load
 
 #: The words and queries searched for.
@@ -249,6 +250,5 @@ ORACLE = {
     "phrase": f"{_W} SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'dying' AND b.term = 'declaration'",
     "proximity_k": f"{_W} {_near('confession', 'evidence', 3)}",
     "proximity_s": f"{_W} {_near('recovery', 'evidence', 5)}",
-    "token_fate": None,
+    "token_fate": f"{_W}, r AS (SELECT unnest({raw_tokens_of('text')}) AS t FROM z) SELECT CASE WHEN t IN ({words(LEGAL)}) OR regexp_matches(t, '{LEGAL_NUMBER}') THEN 'kept' WHEN t IN ({words(STOP)}) THEN 'stop word' ELSE 'word' END AS fate, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM r GROUP BY 1",
 }
-ORACLE = {k: q for k, q in ORACLE.items() if q}

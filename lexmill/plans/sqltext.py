@@ -10,14 +10,17 @@ def words(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def tokens_of(text: str) -> str:
-    """A list of tokens of a text expression."""
+def raw_tokens_of(text: str) -> str:
+    """All tokens of a text expression, stop words included."""
     t = f"regexp_replace(coalesce({text}, ''), '\\[([0-9]{{4}})\\]', '\\1', 'g')"
     for dotted, plain in ((r"(?i)\bS\.C\.R\.", "SCR"), (r"(?i)\bS\.C\.C\.", "SCC"), (r"(?i)\bI\.N\.S\.C\.", "INSC"), (r"(?i)\bCr\.\s*P\.?\s*C\.", "CrPC")):
         t = f"regexp_replace({t}, '{dotted}', '{plain}', 'g')"
-    return (
-        f"list_filter(regexp_extract_all(lower({t}), '{TOKEN}'), lambda x: x IN ({words(LEGAL)}) OR regexp_matches(x, '{LEGAL_NUMBER}') OR x NOT IN ({words(STOP)}))"
-    )
+    return f"regexp_extract_all(lower({t}), '{TOKEN}')"
+
+
+def tokens_of(text: str) -> str:
+    """A list of tokens of a text expression."""
+    return f"list_filter({raw_tokens_of(text)}, lambda x: x IN ({words(LEGAL)}) OR regexp_matches(x, '{LEGAL_NUMBER}') OR x NOT IN ({words(STOP)}))"
 
 
 ZONE_CTE = f"""

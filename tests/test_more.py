@@ -69,3 +69,25 @@ def test_whole_ranking(spark):
     assert [r["rank"] for r in ranking.rank(corpus, "confession").orderBy("rank").collect()] == [1, 2]
     with pytest.raises(ValueError):
         ranking.signals(corpus, "  ")
+
+
+def test_classifier_on_held_out_windows(spark):
+    from lexmill.operators import classifier
+
+    cues = {"followed": "that decision was followed and applied", "overruled": "the earlier view stands overruled", "doubted": "we have some doubt about that view"}
+    fillers = ["the lessor sealed the ledger", "the surety read the cheque", "bail was granted on a bond", "the widow left at noon", "the nazir verified the roll", "counsel was heard at length"]
+    rows = [(f"{f}; {c}, {g}", label, i % 3) for label, c in cues.items() for i, (f, g) in enumerate((f, g) for f in fillers for g in fillers)]
+    df = spark.createDataFrame(rows + [(None, "followed", 1), ("x", None, 1)], "window string, label string, fold int")
+    held = classifier.predict(classifier.fit(df.filter("fold > 0")), df.filter("fold = 0")).select("label", "pred", "probability").collect()
+    assert sum(r["label"] == r["pred"] for r in held) / len(held) > 0.95 and all(0 <= r["probability"] <= 1 for r in held)
+
+
+def test_cleaning(spark):
+    page = "SUPREME COURT REPORTS\nThe learned coun-\nsel   spoke.\nA\n303\n[1959] 2 S.C.R. 303\nEnd."
+    assert one(spark, tx.without_furniture(F.lit(page))) == "The learned coun-sel spoke. End."
+    assert one(spark, tx.clean_zone(F.lit("a  b\r\n\r\n\r\n\r\nc "))) == "a b\n\nc"
+    assert one(spark, tx.without_controls(F.lit("a\fb­c\u0001"))) == "a\nbc"
+    assert one(spark, tx.section_numbers(F.lit("sections 302, 120 and 302 of the Act of 1860"))) == ["302", "120", "1860"]
+    assert one(spark, tx.content_terms(F.lit("the murder of the murder witness 302"))) == ["murder", "witness"]
+    assert one(spark, tx.excerpt(F.lit("one  two three"), 9)) == "one tw..."
+    assert one(spark, tx.doc_label(F.lit("X v. Y"), F.lit(None).cast("string"), F.lit(3))) == "X v. Y (3-judge bench)"
