@@ -170,8 +170,10 @@ def ablation_grouping_sets(spark, sf):
 
 def harmful_rank_pivot(spark, sf):
     """The rank of every overruled document under each system, if any has it in its ten best."""
-    r = _runs(spark, sf).join(_harmful(spark, sf), "doc_id", "left_semi")
-    p = r.groupBy("qid", "doc_id").pivot("system", ["flat_bm25", "lnc_ltc", "zone_bm25"]).agg(F.min("rn"))
+    r = _runs(spark, sf).join(_harmful(spark, sf), "doc_id", "left_semi").withColumn("system", F.coalesce("system", F.lit("null")))
+    # The systems compared are few; one without an overruled document keeps its column.
+    names = load(spark, sf, "hits").filter("rel is not null").select(F.coalesce("system_name", F.lit("null")).alias("s")).distinct()
+    p = r.groupBy("qid", "doc_id").pivot("system", sorted(x["s"] for x in names.collect())).agg(F.min("rn"))
     best = r.filter("rn <= 10").select("qid", "doc_id").distinct()
     return p.join(best, ["qid", "doc_id"], "left_semi")
 
