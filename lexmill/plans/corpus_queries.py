@@ -14,6 +14,8 @@ from lexmill.session import load
 
 NAMED = [("excise", list(range(1950, 2030)), r"(?i)commissioner of excise"), ("stamps", list(range(1990, 2030)), r"(?i)collector of stamps"), ("kesholi", [2014, 2015, 2016], r"(?i)kesholi")]
 YEARS = list(range(2000, 2026))
+#: White space as a browser knows it, for a character class.
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,11 +225,31 @@ def citation_windows(spark, sf):
     return n.join(s, "key").filter((F.col("start") <= F.col("span_start")) & (F.col("span_start") < F.col("end"))).select("span_id", "lo", "hi")
 
 
+def _plain(c):
+    """Letters and digits alone, lower-case, words a space apart."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\[\[|\]\]", " "), "[^a-z0-9]+", " "))
+
+
+def _paragraphs(text):
+    """The paragraphs of a text: at empty lines, in a long text with fewer than six of them at every line."""
+
+    def parts(at):
+        return F.filter(F.split(text, at), lambda p: p.rlike(rf"[^{SPACE}]"))
+
+    blocks = parts(rf"\n[{SPACE}]*\n")
+    return F.when((F.size(blocks) < 6) & (F.octet_length(F.encode(text, "UTF-16BE")) > 2 * 3000), parts(r"\n")).otherwise(blocks)
+
+
 def evidence_located(spark, sf):
-    """Evidence sentences found in the text of the judgment that holds them, by a probe of 70 characters."""
-    e = load(spark, sf, "evidence").filter("sentence is not null and citing_doc is not null").select("evidence_id", F.trim("citing_doc").alias("doc_id"), F.substring("sentence", 1, 70).alias("probe")).distinct()
-    hit = e.join(_texts(spark, sf).filter("text is not null"), "doc_id").filter(F.contains("text", "probe"))
-    return hit.select("evidence_id", "doc_id")
+    """Evidence found in the judgment that holds it: a paragraph has the passage's start or middle, 70 characters, case and punctuation aside."""
+    e = load(spark, sf, "evidence").filter("sentence is not null and citing_doc is not null").select("evidence_id", F.trim("citing_doc").alias("doc_id"), _plain(F.col("sentence")).alias("n")).distinct().filter(F.length("n") >= 24)
+    half = F.floor(F.length("n") / 2).cast("int")
+    low = F.greatest(half - 35, F.lit(0))
+    e = e.select("evidence_id", "doc_id", F.substring("n", 1, 70).alias("start"), F.substring("n", low + 1, half + 35 - low).alias("middle"))
+    # A line feed parts the paragraphs, and no probe holds one.
+    texts = _texts(spark, sf).filter("text is not null").select("doc_id", F.array_join(F.transform(_paragraphs(F.col("text")), _plain), "\n").alias("body"))
+    hit = e.join(texts, "doc_id").filter(F.contains("body", "start") | F.contains("body", "middle"))
+    return hit.select("evidence_id", "doc_id").distinct()
 
 
 def bench_from_judges(spark, sf):

@@ -1,6 +1,6 @@
 """Whole results of registered queries on tables written for the purpose."""
 
-from lexmill.plans import rank_eval_queries
+from lexmill.plans import corpus_queries, rank_eval_queries
 
 
 def put(spark, folder, name, rows, schema):
@@ -16,3 +16,25 @@ def test_harmful_ranks_under_every_system(spark, tmp_path):
     assert set(df.columns) == {"qid", "doc_id", "lnc_ltc", "new", "null", "phrase_hits"}
     got = {(r["qid"], s): r[s] for r in df.collect() for s in df.columns[2:] if r[s] is not None}
     assert got == {("q1", "lnc_ltc"): 1, ("q1", "phrase_hits"): 2, ("q2", "phrase_hits"): 1, ("q3", "null"): 1}
+
+
+def test_evidence_located_by_start_or_middle(spark, tmp_path):
+    filler = "The lessor sealed the ledger in the presence of two clerks."
+    long = "it is settled that a confession made to a police officer is not admissible against the accused person at all"
+    text = f"{filler}\n\nHeld: it is settled that a Confession -- made to a\npolice officer -- is not admissible against the accused person, at all.\n\n \n{filler}\n\nThe widow left\n\nat noon with the surety."
+    rows = [
+        ("start", "a", "It is settled, that a [[confession]] made to a police officer is not admissible; but see below."),
+        ("middle", " a ", f"garbled xx {long} yy garbled"),
+        ("short", "a", "at noon with the"),
+        ("across paragraphs", "a", "The widow left at noon with the surety."),
+        ("elsewhere", "b", long),
+        ("absent", "a", "Nothing of this kind was ever said by the court below."),
+        ("none", "a", None),
+        ("line of a long text", "c", "the nazir verified the roll of the court"),
+        ("across lines of a long text", "c", "verified the roll of the court the nazir verified the roll"),
+    ]
+    put(spark, tmp_path, "evidence", rows, "evidence_id string, citing_doc string, sentence string")
+    judgments = [("a", text, "t"), ("b", None, "t"), ("c", "The nazir verified the roll of the court\n" * 80, "t")]
+    put(spark, tmp_path, "judgments", judgments, "doc_id string, text string, title string")
+    got = sorted((r["evidence_id"], r["doc_id"]) for r in corpus_queries.evidence_located(spark, str(tmp_path)).collect())
+    assert got == [("line of a long text", "c"), ("middle", "a"), ("start", "a")]
