@@ -1,6 +1,11 @@
 """Whole results of registered queries on tables written for the purpose."""
 
-from lexmill.plans import corpus_queries, rank_eval_queries
+import math
+
+import pytest
+
+from lexmill.plans import corpus_queries, law_queries, rank_eval_queries
+from test_rank_eval import dense_pagerank
 
 
 def put(spark, folder, name, rows, schema):
@@ -38,3 +43,15 @@ def test_evidence_located_by_start_or_middle(spark, tmp_path):
     put(spark, tmp_path, "judgments", judgments, "doc_id string, text string, title string")
     got = sorted((r["evidence_id"], r["doc_id"]) for r in corpus_queries.evidence_located(spark, str(tmp_path)).collect())
     assert got == [("line of a long text", "c"), ("middle", "a"), ("start", "a")]
+
+
+def test_authority_over_converged_pagerank(spark, tmp_path):
+    edges = [("A", "B", 2.0), ("B", "C", 1.0), ("C", "D", 1.0), ("D", "E", 1.0), ("E", "F", 1.0), ("F", "A", 1.0), ("G", "A", 1.0), ("A", "G", 0.5), ("H", "F", 0.7)]
+    put(spark, tmp_path, "resolutions", edges, "citing_doc string, doc_id string, score double")
+    benches = {"A": 2, "C": 5, "F": 13, "H": 0}
+    put(spark, tmp_path, "doc_meta", list(benches.items()), "doc_id string, bench int")
+    pr = dense_pagerank(edges, "ABCDEFGH")
+    raw = {d: math.log1p(len(pr) * p * min(1, math.log1p(benches.get(d) or 2) / math.log(8))) for d, p in pr.items()}
+    want = {d: x / max(raw.values()) for d, x in raw.items()}
+    got = {r["id"]: r["authority"] for r in law_queries.authority(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-7)
