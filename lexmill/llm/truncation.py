@@ -39,10 +39,14 @@ MEASURES: dict[str, Callable[[str], int]] = {
     "crlf": lambda t: len(t) + t.count("\n"),
     "crlf_utf8": lambda t: len(t.encode("utf-8", "surrogatepass")) + t.count("\n"),
 }
+#: The same with a mark of the cut at the end taken off.
+NAMES = [*MEASURES, *(f"{m}_unmarked" for m in MEASURES)]
 #: Lengths below a limit that still count as lying at it: a character or escape that did not fit whole.
 SLACK = 3
 #: A limit needs this many texts at it and this share of its source; texts beyond it must be fewer than this part of those at it.
 LEAST, LEAST_SHARE, BEYOND = 3, 0.01, 0.1
+#: Where cuts move back to the end of a word: lengths below a limit that still count, texts needed there, how many times denser they must be than below. Lengths of whole texts are preferred to those without marks if their pile is this part of the other.
+WORD, LEAST_BAND, DENSER, MOST = 20, 10, 3, 2 / 3
 #: A closing line is a formula if this share of all documents ends with one of its shape.
 FORMULA_SHARE = 0.0015
 #: An ending ends a sentence if at least this share of its occurrences elsewhere does.
@@ -55,6 +59,7 @@ _END = re.compile(rf"(?:[.?!।॥۔؟。！？…]|[ऀ-ॿ]\s?\|)[{re.escape(_
 #: Remains of an escape sequence, an entity, a tag or a character cut in the middle, and marks that a system sets at its cut.
 _REMAINS = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#?\w{0,7}|</?[A-Za-z]*(?:\s[^<>]*)?)$")
 _MARKED = re.compile(r"(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|(?:read|see) more|\w(?:…|\.\.\.)|[^.?!\s]\s?…)\s*$", re.I)
+_MARK = re.compile(r"\s*(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|\b(?:read|see) more|…|\.\.\.)\s*$", re.I)
 # Abbreviations that stand before more text and so end no sentence.
 _ABBREVIATION = re.compile(
     r"(?:^|[\s(\"“])(?:Mr|Mrs|Ms|Smt|Dr|Shri|Messrs|M/s|Sr|Hon|Ex|No|Nos|no|Rs|s|ss|sub-s|cl|para|paras|Art|Arts|Crl|Supp|S\.C\.C|A\.I\.R|S\.C|v|vs|Vs|p|pp|viz|i\.e|e\.g|w\.e\.f|P\.W|D\.W|"
@@ -120,10 +125,17 @@ def _signature(text: str) -> bool:
     return re.search(r"\)\s*\n\s*[A-Z]{1,3}\.?$", text[-40:]) is not None
 
 
+def lengths(text: str) -> list[int]:
+    """The text's length under every one of NAMES."""
+    whole = [f(text) for f in MEASURES.values()]
+    m = _MARK.search(text[-40:])
+    return whole + ([f(text[: len(text) - len(m[0])]) for f in MEASURES.values()] if m else whole)
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b.pop("text")
-        b["lengths"] = [[f(t) for f in MEASURES.values()] for t in texts]
+        b["lengths"] = [lengths(t) for t in texts]
         b["ending"] = [ending(t) for t in texts]
         b["tail"] = [tail_key(t) for t in texts]
         b["shape"] = [line_shape(t) for t in texts]
@@ -154,27 +166,46 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def hidden_limits(features: DataFrame) -> DataFrame:
-    """(source, measure, at_limit_from, field_limit, at): the limit of each source that has one.
+    """(source, measure, field_limit, at, width): the limit of each source that has one.
 
     Per source and measure the lengths are counted (rows are source x length,
     not documents); the limit is the largest pile at a length beyond which
-    fewer than a tenth as many texts go.
+    fewer than a tenth as many texts go.  Cuts moved back to the end of a word
+    pile up over a band (``width``) below the limit instead of at one length.
     """
-    pairs = F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lengths").alias("length"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, NAMES)).alias("measure"), F.col("lengths").alias("length"))
     counts = features.select("source", F.explode(pairs).alias("x")).groupBy("source", F.col("x.measure").alias("measure"), F.col("x.length").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source", "measure")
-    near = by.orderBy("length").rangeBetween(-SLACK, 0)
-    beyond = by.orderBy("length").rangeBetween(1, Window.unboundedFollowing)
-    piles = (
-        counts.withColumn("at", F.sum("n").over(near))
-        .withColumn("past", F.coalesce(F.sum("n").over(beyond), F.lit(0)))
+    up = by.orderBy("length")
+    size = WORD + 1
+    seen = (
+        counts.withColumn("at", F.sum("n").over(up.rangeBetween(-SLACK, 0)))
+        .withColumn("past", F.coalesce(F.sum("n").over(up.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)))
         .withColumn("all", F.sum("n").over(by))
-        .filter((F.col("n") >= LEAST) & (F.col("n") >= LEAST_SHARE * F.col("all")) & (F.col("past") <= BEYOND * F.col("at")))
+        .withColumn("band", F.sum("n").over(up.rangeBetween(-WORD, 0)))
+        .withColumn("short", F.col("length") * F.col("band") - F.sum(F.col("n") * F.col("length")).over(up.rangeBetween(-WORD, 0)))
+        .withColumn("below", F.coalesce(F.sum("n").over(up.rangeBetween(1 - 6 * size, -size)), F.lit(0)) / 5)
     )
-    simplest = -F.array_position(F.array(*map(F.lit, MEASURES)), F.col("measure"))
+    simplest = -F.array_position(F.array(*map(F.lit, NAMES)), F.col("measure"))
+    pile = (F.col("n") >= LEAST) & (F.col("n") >= LEAST_SHARE * F.col("all")) & (F.col("past") <= BEYOND * F.col("at"))
+    spread = (F.col("band") >= LEAST_BAND) & (F.col("band") >= LEAST_SHARE * F.col("all")) & (F.col("past") <= BEYOND * F.col("band")) & (F.col("band") >= DENSER * F.col("below"))
+    more = F.col("band") - F.col("below")
+    whole = F.col("measure").isin(*MEASURES)
     order = F.struct(F.col("at"), F.col("n"), -F.col("past"), simplest)
-    best = piles.groupBy("source").agg(F.max_by(F.struct("measure", "length", "at"), order).alias("b"))
-    return best.select("source", F.col("b.measure").alias("measure"), F.col("b.length").alias("field_limit"), F.col("b.at").alias("at"))
+    # One length is the whole limit unless the lengths just below it are too dense for texts that merely end there.
+    rest = F.col("band") - F.col("at")
+    loose = (rest >= LEAST_BAND) & (rest >= DENSER * F.col("below") * (WORD - SLACK) / size)
+    exact = F.struct("measure", "length", "at", F.lit(SLACK).alias("width"), loose.alias("loose"))
+    best = seen.groupBy("source").agg(
+        F.max_by(F.when(pile & whole, exact), F.when(pile & whole, order)).alias("whole"),
+        F.max_by(F.when(pile & ~whole, exact), F.when(pile & ~whole, order)).alias("bare"),
+        F.max_by(F.when(spread, F.struct("measure", "length", F.col("band").alias("at"), F.lit(WORD).alias("width"), F.lit(True).alias("loose"))), F.when(spread, F.struct(more - F.col("past"), -F.col("short"), simplest))).alias("w"),
+    )
+    as_is = F.col("whole").isNotNull() & (F.col("bare").isNull() | (F.col("whole.at") >= MOST * F.col("bare.at")))
+    best = best.withColumn("p", F.when(as_is, F.col("whole")).otherwise(F.col("bare")))
+    held = F.col("p").isNotNull() & (F.col("w").isNull() | ~F.col("p.loose"))
+    best = best.withColumn("b", F.when(held, F.col("p")).otherwise(F.col("w"))).filter("b is not null")
+    return best.select("source", F.col("b.measure").alias("measure"), F.col("b.length").alias("field_limit"), F.col("b.at").alias("at"), F.col("b.width").alias("width"))
 
 
 def truncated(docs: DataFrame, doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
@@ -191,10 +222,10 @@ def truncated(docs: DataFrame, doc_id: str, text: str, source: str) -> tuple[Dat
     total = feats.count()
     formulas = feats.filter("shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(LEAST, FORMULA_SHARE * total)).select("shape", F.lit(True).alias("formula"))
     tails = base.select("text").mapInPandas(_tails, "tail string, n long, n_end long").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    place = F.array_position(F.array(*map(F.lit, MEASURES)), F.col("measure"))
+    place = F.array_position(F.array(*map(F.lit, NAMES)), F.col("measure"))
     length = F.try_element_at("lengths", place.cast("int"))
     open_ = feats.filter("ending = 'open'").join(formulas, "shape", "left").join(tails, "tail", "left").join(limits, "source", "left")
-    at_limit = F.coalesce(F.col("field_limit").isNotNull() & length.between(F.col("field_limit") - SLACK, F.col("field_limit")), F.lit(False))
+    at_limit = F.coalesce(F.col("field_limit").isNotNull() & length.between(F.col("field_limit") - F.col("width"), F.col("field_limit")), F.lit(False))
     likely = F.coalesce((F.col("n_end") >= LEAST) & (F.col("n_end") >= ENDS * F.col("n")), F.lit(False))
     possible = F.coalesce(F.col("n_end") > 0, F.lit(False))
     # In a source that leaves the last mark out by habit any known ending will do.

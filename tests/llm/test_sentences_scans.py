@@ -1,5 +1,7 @@
 """Sentence rules, scan repair and truncation on hand-made texts, and their edge cases."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +115,22 @@ def test_hidden_limit_in_utf8(spark):
     assert {r["doc_id"] for r in found.filter("truncated").collect()} == {i for i in range(60) if i % 2}
     none, no_limits = truncation.truncated(spark.createDataFrame([], "id long, body string, src string"), "id", "body", "src")
     assert none.count() == 0 and no_limits.count() == 0
+
+
+def test_limit_of_cuts_moved_to_a_word_end(spark):
+    rng = random.Random(3)
+    words = "an officer speaks of particular proceedings and examination in this circumstance before the magistrate".split()
+    marks = ["", " (more)", " [...]", "…"]
+    rows = []
+    for i in range(60):
+        full = " ".join(rng.choice(words) for _ in range(90))
+        rows.append((i, full[: full.rfind(" ", 0, 301)] + marks[i % 4], "notes"))
+    rows += [(100 + i, " ".join(rng.choice(words) for _ in range(1 + i % 15)) + " was held.", "notes") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(1 + i % 70)) + " was held.", "free") for i in range(150)]
+    found, limits = truncation.truncated(spark.createDataFrame(rows, "id long, body string, src string"), "id", "body", "src")
+    got = [(r["source"], r["field_limit"]) for r in limits.collect()]
+    longest = max(len(b) - len(marks[i % 4]) for i, b, _ in rows[:60])
+    assert got == [("notes", longest)]
+    states = {r["doc_id"]: r for r in found.collect()}
+    assert all(states[i]["truncated"] and states[i]["at_limit"] for i in range(60))
+    assert not any(r["truncated"] for d, r in states.items() if d >= 100)
