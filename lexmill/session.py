@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -32,14 +35,40 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the cluster names none (tests)."""
+    """The folder all executors share.  Where the session names none, a local master gets a temporary one; a cluster is refused."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not named:
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set(CHECKPOINT_KEY, named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lexmill/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder; frames that read them can be read no more.
+
+    Called at the end of the Python process by itself."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001  the session has ended before the process
+        pass
+
+
+_registered: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -47,6 +76,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation, and a non-deterministic stage is evaluated once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexmill/{name}-{uuid.uuid4().hex}"
+    own = _own_dir(spark)
+    if own not in _registered:
+        _registered.add(own)
+        atexit.register(_release_quietly, spark)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
