@@ -67,17 +67,18 @@ def few_shot_pool(windows: DataFrame, per_label: int) -> DataFrame:
 
 
 def water_fill(sizes: dict[str, int], total: int) -> dict[str, int]:
-    """Equal quotas; what a small bucket cannot fill goes to the others, leftovers to the first names."""
-    quota = dict.fromkeys(sizes, 0)
-    left = min(total, sum(sizes.values()))
-    while left:
-        open_ = sorted(k for k in sizes if quota[k] < sizes[k])
-        each = max(1, left // len(open_))
-        for k in open_:
-            n = min(each, sizes[k] - quota[k], left)
-            quota[k] += n
-            left -= n
-    return quota
+    """Equal quotas up to each size: everyone gets the water level, the units left over go to the first names above it."""
+    total = min(total, sum(sizes.values()))
+    level, below = 0, 0
+    # Bucket by bucket from the smallest: the level is what is left, shared by those not yet full.
+    for filled, n in enumerate(sorted(sizes.values())):
+        level = (total - below) // (len(sizes) - filled)
+        if level < n:
+            break
+        below += n
+    quota = {k: min(n, level) for k, n in sizes.items()}
+    above = sorted(k for k, n in sizes.items() if n > level)
+    return quota | {k: level + 1 for k in above[: total - sum(quota.values())]}
 
 
 def stratified_sample(windows: DataFrame, total: int, seed: int) -> DataFrame:
