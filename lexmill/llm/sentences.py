@@ -14,21 +14,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``before`` must match up to the position, ``after`` from it on."""
+    """``before`` must match up to the position, read backwards from it, ``after`` from it on; both see the whole text."""
 
     breaks: bool
-    before: re.Pattern
-    after: re.Pattern
+    before: regex.Pattern
+    after: regex.Pattern
 
 
 def _rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, re.compile(f"(?:{before})$"), re.compile(after))
+    return Rule(breaks, regex.compile(f"(?r)(?:{before})"), regex.compile(after))
 
 
 _CLOSE = r"[\"'”’»)\]」』）]*"
@@ -41,6 +42,9 @@ _MAYBE = r"Ltd|Ors|Anr|Bros|Co|Inc|etc|Adv|JJ|a\.m|p\.m|Cr\.P\.C|C\.P\.C|I\.P\.C
 #: Where an abbreviation may begin: also right after an end mark whose space is missing.
 _WORD_START = r"(?:^|[\s(\[\"“'‘/,;]|(?<=[a-z]{2}[.?!])|(?<=[0-9)][.?!])|(?<=[ap]\.m\.))"
 
+#: Stands in a rule for the ends of a run of single letters with full stops (found once for a text, see ``_initials``).
+INITIALS = regex.compile(r"(?:[A-Za-z]\.)+")
+_AT_WORD_START = regex.compile(f"(?r){_WORD_START}")
 #: Language -> rules, read before the common ones.
 TABLES: dict[str, list[Rule]] = {
     "en": [
@@ -48,7 +52,7 @@ TABLES: dict[str, list[Rule]] = {
         # Two capitals shorten a firm's name where the form of company follows.
         _rule(False, r"\s[A-Z]{1,3}\.", r"\s+(?:Ltd|Pvt|Co)\b"),
         # Initials, reporter and witness abbreviations: single letters with full stops.
-        _rule(False, rf"{_WORD_START}(?:[A-Za-z]\.)+(?<![ap]\.m\.)"),
+        Rule(False, INITIALS, regex.compile("")),
         _rule(False, rf"{_WORD_START}(?:{_MAYBE})\.", r"\s+(?:[a-z0-9(\[&]|V/s\b|Vs\b|versus\b|A\.I\.R)"),
         _rule(True, rf"{_WORD_START}(?:{_MAYBE})\.", r"\s+\S"),
         # The space after an end mark may be missing before a capitalised word.
@@ -84,63 +88,70 @@ COMMON: list[Rule] = [
 _CASCADE = {lang: [*rules, *COMMON] for lang, rules in TABLES.items()}
 _CANDIDATE = re.compile(rf"[.?!।॥۔؟。！？…|]+{_CLOSE}(?<!\|\|)")
 _LINE = re.compile(r"[ \t\r]*\n\s*")
-#: Characters on either side that a rule may look at; no abbreviation is as long.
-_HEAD = 24
-#: A quotation or bracket counts as one if it closes on the same line within so many characters.
-SPAN = 600
 _PAIRS = {"“": "”", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "‘": "’"}
+_BRACKET = re.compile(r'["“”「」『』()\[\]（）‘’]')
+#: A letter tells the language by its script.
+_LETTER = {
+    "en": re.compile(r"[A-Za-z]"), "hi": re.compile(r"[\u0900-\u0963\u0966-\u097f]"), "ur": re.compile(r"[\u0600-\u060b\u060d-\u061e\u0620-\u06d3\u06d5-\u06ff]"),
+    "ta": re.compile(r"[\u0b80-\u0bff]"), "zh": re.compile(r"[\u3400-\u9fff]"),
+}
+_ANY_LETTER = regex.compile("(?r)" + "|".join(f"(?P<{lang}>{p.pattern})" for lang, p in _LETTER.items()))
 
 
-def language(text: str, at: int) -> str:
-    """The language of the last letter before a position, by its script."""
-    for c in reversed(text[max(0, at - 30) : at]):
-        if "a" <= c.lower() <= "z":
-            return "en"
-        if "ऀ" <= c <= "ॿ" and c not in "।॥":
-            return "hi"
-        if "؀" <= c <= "ۿ" and c not in "۔؟،":
-            return "ur"
-        if "஀" <= c <= "௿":
-            return "ta"
-        if "㐀" <= c <= "鿿":
-            return "zh"
-    return "en"
+def language(text: str, at: int, since: int = 0, before: str = "en") -> str:
+    """The language of the last letter between ``since`` and ``at``, by its script; ``before`` if there is none."""
+    m = _ANY_LETTER.search(text, since, at)
+    return m.lastgroup if m else before
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
-    """Outermost quotations and brackets as (first, last) character positions."""
-    spans = []
+    """Outermost quotations and brackets as (first, last) character positions.
+
+    An opening mark is closed by its partner, marks of its own kind between
+    them paired among themselves, on the same line however far; one left open
+    encloses nothing.  One pass finds the partners, so a line costs its length.
+    """
+    spans: list[tuple[int, int]] = []
     begun = 0
     for line in text.split("\n"):
-        at, stop = 0, len(line)
-        while at < stop:
-            c = line[at]
-            end = -1
-            if c == '"':
-                end = line.find('"', at + 1, at + SPAN)
-            elif c in _PAIRS and not (c == "‘" and at and line[at - 1].isalnum()):
-                depth, close = 0, _PAIRS[c]
-                for k in range(at, min(stop, at + SPAN)):
-                    depth += (line[k] == c) - (line[k] == close)
-                    if depth == 0:
-                        end = k
-                        break
-            if end > at:
-                spans.append((begun + at, begun + end))
-                at = end
-            at += 1
-        begun += stop + 1
+        marks = [(m.start(), m[0]) for m in _BRACKET.finditer(line)]
+        if len(marks) > 1:
+            partner: dict[int, int] = {}
+            waiting: dict[str, list[int]] = {close: [] for close in _PAIRS.values()}
+            quotes = []
+            for at, c in marks:
+                if c == '"':
+                    quotes.append(at)
+                elif c in waiting:
+                    if waiting[c]:
+                        partner[waiting[c].pop()] = at
+                elif not (c == "‘" and at and line[at - 1].isalnum()):
+                    waiting[_PAIRS[c]].append(at)
+            after = dict(zip(quotes, quotes[1:]))
+            done = -1
+            for at, c in marks:
+                end = after.get(at) if c == '"' else partner.get(at)
+                if at > done and end is not None:
+                    spans.append((begun + at, begun + end))
+                    done = end
+        begun += len(line) + 1
     return spans
 
 
-def _decide(text: str, at: int, ascii_only: bool) -> bool:
-    before = text[max(0, at - _HEAD) : at]
-    after = text[at : at + _HEAD]
-    lang = "en" if ascii_only else language(text, at)
-    if before.endswith("|") and lang != "hi":
+def _initials(text: str) -> set[int]:
+    """Ends of single letters with full stops in a run that begins where a word does; a time of day is none."""
+    ends = set()
+    for m in INITIALS.finditer(text):
+        first = next((p for p in range(m.start(), m.end(), 2) if _AT_WORD_START.match(text, 0, p)), m.end())
+        ends.update(e for e in range(first + 2, m.end() + 1, 2) if text[e - 4 : e] not in ("a.m.", "p.m."))
+    return ends
+
+
+def _decide(text: str, at: int, lang: str, initials: set[int]) -> bool:
+    if text[at - 1] == "|" and lang != "hi":
         return False
     for rule in _CASCADE[lang]:
-        if rule.before.search(before) and rule.after.match(after):
+        if (at in initials if rule.before is INITIALS else rule.before.match(text, 0, at)) and rule.after.match(text, at):
             return rule.breaks
     return False
 
@@ -159,8 +170,10 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence; every character that is not blank lies in exactly one."""
     inside = _enclosed(text)
     ascii_only = text.isascii()
+    initials = _initials(text)
     cuts = []
-    k = 0
+    k = read = 0
+    lang = "en"
     opens = {s for s, _ in inside}
     # A closing mark that opens the next quotation is none.
     marks = [(next((i for i in range(m.start() + 1, m.end()) if i in opens), m.end()), False, m) for m in _CANDIDATE.finditer(text)] + [(m.start(), True, m) for m in _LINE.finditer(text)]
@@ -169,7 +182,13 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
             k += 1
         if k < len(inside) and inside[k][0] < at <= inside[k][1]:
             continue
-        if _line_breaks(text, m.start(), m.end()) if line else _decide(text, at, ascii_only):
+        if line:
+            found = _line_breaks(text, m.start(), m.end())
+        else:
+            if not ascii_only:
+                lang, read = language(text, at, read, lang), at
+            found = _decide(text, at, lang, initials)
+        if found:
             cuts.append(at)
     spans = []
     start = 0
