@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lexmill.llm.ranks import median_rank_order
 from lexmill.session import load
 
 SIGNALS = {"rel": 1.0, "cont": 1.0, "health": 1.0, "auth": 1.0}
-SYSTEMS = {"zone_bm25": 1.0, "flat_bm25": 1.0, "lnc_ltc": 1.0, "okapi": 1.0}
+#: More systems than this are no systems but a column mistaken for one; they are refused, never dropped.
+MOST_SYSTEMS = 200
 
 
 def p3_signal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +21,20 @@ def p3_signal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return median_rank_order(rows, "qid", "doc_id", "score", "value", SIGNALS)
 
 
+def hit_order(hits: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The candidates of each query by the systems' rel; without ``weights`` every system in ``hits`` weighs the same."""
+    rows = hits.select("qid", "doc_id", "system_name", "rel")
+    if weights is None:
+        names = [r[0] for r in rows.select("system_name").filter(F.col("system_name").isNotNull()).distinct().limit(MOST_SYSTEMS + 1).collect()]
+        if len(names) > MOST_SYSTEMS:
+            raise ValueError(f"more than {MOST_SYSTEMS} systems: name those that count")
+        weights = dict.fromkeys(names, 1.0) or {"": 1.0}
+    return median_rank_order(rows, "qid", "doc_id", "system_name", "rel", weights)
+
+
 def p3_hit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of ``hits`` by the systems' rel, each system weighing the same."""
-    rows = load(spark, sf_dir, "hits").select("qid", "doc_id", "system_name", "rel")
-    names = [r[0] for r in rows.select("system_name").filter(F.col("system_name").isNotNull()).distinct().limit(len(SYSTEMS)).collect()]
-    return median_rank_order(rows, "qid", "doc_id", "system_name", "rel", dict.fromkeys(names, 1.0) or SYSTEMS)
+    return hit_order(load(spark, sf_dir, "hits"))
 
 
 def _sql(source: str, names: str) -> str:

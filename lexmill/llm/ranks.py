@@ -12,48 +12,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.session import materialise
 
-#: A group of more rows than this is cut into value slices that sort in separate tasks.
+#: A group of more rows than this is not sorted by one task but in ranges of about so many rows.
 SLICE_ROWS = 100_000
-#: Slices of a large group; their borders are quantiles, any borders give the same ranks.
-SLICES = 64
 
 
-def _slices(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Add ``slice``: 0 in small groups, else the quantile interval of ``value``, highest values first."""
-    cuts = [i / SLICES for i in range(1, SLICES)]
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(1000)).alias("_cuts"))
-    sizes = sizes.withColumn("_cuts", F.when(F.col("_n") > SLICE_ROWS, F.array_distinct("_cuts")).otherwise(F.expr("array()").cast("array<double>"))).drop("_n")
-    return df.join(sizes, group).withColumn("slice", F.size(F.filter("_cuts", lambda c: c > F.col(value)))).drop("_cuts")
+def _preceding(df: DataFrame, group: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over the rows of the group before this one in ``order``, without a group in one task.
+
+    The rows are range-partitioned by group and order and written, so that the
+    ranges stay as they are if an executor is lost; a group's sums over whole
+    ranges give the offsets.  ``order`` tells all rows of a group apart.
+    """
+    ranges = max(1, -(-df.count() // SLICE_ROWS))
+    cut = materialise(df.withColumn("_a", amount).repartitionByRange(ranges, *map(F.col, group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*group, "_range").agg(F.sum("_a").alias("_s")).select(*group, "_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(offsets, [*group, "_range"]).withColumn(out, F.col("_offset") + F.coalesce(F.sum("_a").over(inside), F.lit(0))).drop("_a", "_range", "_offset")
 
 
 def ranked(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Add the mean rank of ``value`` (highest 1, ties share) in its group, and ``n_ranked``.
+    """Add the mean rank of ``value`` (highest 1, ties share, NULLs last) in its group, for groups of any size.
 
-    Equal values fall into one slice, the rank is the number of rows in the
-    slices before plus the rank inside, so a group of any size is ranked
-    exactly without being sorted by one task.
+    Ranks are made from the counts of distinct values, so a value that a third
+    of all rows share is one row there and is joined back to them.
     """
-    cut = _slices(df, group, value)
-    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    counts = (
-        cut.groupBy(*group, "slice")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(*group, "slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("n_ranked"))
-    )
-    inside = Window.partitionBy(*group, "slice").orderBy(F.desc(value))
-    tied = Window.partitionBy(*group, "slice", value)
-    return (
-        cut.join(counts, [*group, "slice"])
-        .withColumn(out, F.col("_before") + F.rank().over(inside) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0))
-        .drop("slice", "_before")
-    )
+    counts = df.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = _preceding(counts, group, [F.desc_nulls_last("_v")], F.col("_n"), "_before")
+    return df.join(placed.withColumnsRenamed({g: f"_{g}" for g in group}), [df[g] == F.col(f"_{g}") for g in group] + [df[value].eqNullSafe(F.col("_v"))]).select(*df.columns, (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
 
 
 def median_rank_order(scores: DataFrame, group: str, item: str, score: str, value: str, weights: Mapping[str, float]) -> DataFrame:
@@ -68,19 +60,36 @@ def median_rank_order(scores: DataFrame, group: str, item: str, score: str, valu
     """
     names = sorted(weights)
     base = scores.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).alias("s"), F.col(value).cast("double").alias("v")).filter(F.col("g").isNotNull() & F.col("i").isNotNull())
-    base = base.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    items = base.groupBy("g", "i").agg(F.lit(1).alias("one"))
-    sizes = items.groupBy("g").agg(F.count(F.lit(1)).alias("n_items"))
-    # Ranks are read several times below; each of the three tables is written once instead of being derived anew.
-    best = materialise(base.filter(F.col("v").isNotNull() & F.col("s").isin(names)).groupBy("g", "i", "s").agg(F.max("v").alias("v")), "scores")
-    got = materialise(ranked(best, ["g", "s"], "v", "r"), "ranks")
-    per_score = got.groupBy("g", "s").agg(F.max("n_ranked").alias("n_s"))
-    # A group has as many entries here as there are scores.
-    left_out = per_score.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("s", "n_s"))).alias("n_by_s")).join(sizes, "g", "right")
-    ranks = got.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("s", "r"))).alias("r_by_s"))
-    table = items.drop("one").join(ranks, ["g", "i"], "left").join(left_out, "g")
-    absent = {s: (F.col("n_items") + F.coalesce(F.try_element_at("n_by_s", F.lit(s)), F.lit(0)) + 1) / F.lit(2.0) for s in names}
-    entries = F.array_sort(F.array(*[F.struct(F.coalesce(F.try_element_at("r_by_s", F.lit(s)), absent[s]).alias("r"), F.lit(float(weights[s])).alias("w")) for s in names]))
+    # One row per item with a column per score, combined before the one shuffle by item.
+    wide = base.groupBy("g", "i").agg(*[F.max(F.when((F.col("s") == n) & ~F.isnan("v"), F.col("v"))).alias(f"v{k}") for k, n in enumerate(names)])
+    wide = materialise(wide, "scores")
+    sizes = wide.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # At most rows / SLICE_ROWS groups are large.
+    large = sizes.filter(F.col("n") > SLICE_ROWS).select("g")
+    if not large.limit(1).count():
+        return _placed(_medians(_window_ranks(wide, len(names)), weights), group, item)
+    small, rest = wide.join(large, "g", "left_anti"), wide.join(large, "g", "left_semi")
+    for k in range(len(names)):
+        rest = ranked(rest, ["g"], f"v{k}", f"r{k}")
+    medians = _medians(rest, weights)
+    order = [F.col(c) for c in ("median_rank", "mean_rank", "i")]
+    placed = _preceding(medians, ["g"], order, F.lit(1), "position").withColumn("position", F.col("position") + 1)
+    named = placed.select(F.col("g").alias(group), F.col("i").alias(item), "median_rank", "mean_rank", "position")
+    return _placed(_medians(_window_ranks(small, len(names)), weights), group, item).unionByName(named)
+
+
+def _window_ranks(wide: DataFrame, n: int) -> DataFrame:
+    """Mean ranks of groups that one task can sort: all windows share the one partitioning by group."""
+    for k in range(n):
+        order = Window.partitionBy("g").orderBy(F.desc_nulls_last(f"v{k}"))
+        tied = order.rangeBetween(Window.currentRow, Window.currentRow)
+        wide = wide.withColumn(f"r{k}", F.rank().over(order) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0))
+    return wide
+
+
+def _medians(ranks: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """(g, i, median_rank, mean_rank) from the rank columns, in the order of the sorted names."""
+    entries = F.array_sort(F.array(*[F.struct(F.col(f"r{k}").alias("r"), F.lit(float(weights[n])).alias("w")) for k, n in enumerate(sorted(weights))]))
     half = sum(float(w) for w in weights.values()) / 2.0
     # The weighted median: the mean of the first rank whose cumulated weight reaches half and the first that exceeds it.
     cumulated = F.aggregate(
@@ -94,12 +103,9 @@ def median_rank_order(scores: DataFrame, group: str, item: str, score: str, valu
         lambda acc: (acc["lo"] + F.coalesce(acc["hi"], acc["lo"])) / 2.0,
     )
     mean = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["r"] * x["w"]) / F.lit(2 * half)
-    placed = materialise(table.withColumn("e", entries).select("g", "i", cumulated.alias("median_rank"), mean.alias("mean_rank")), "medians")
-    # The place of an item: the order is cut into slices of the median rank, as above.
-    cut = _slices(placed.withColumn("_neg", -F.col("median_rank")), ["g"], "_neg")
-    before = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy("g", "slice").agg(F.count(F.lit(1)).alias("_c")).select("g", "slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("g", "slice").orderBy("median_rank", "mean_rank", "i")
-    return cut.join(counts, ["g", "slice"]).select(
-        F.col("g").alias(group), F.col("i").alias(item), "median_rank", "mean_rank", (F.col("_before") + F.row_number().over(inside)).alias("position")
-    )
+    return ranks.withColumn("e", entries).select("g", "i", cumulated.alias("median_rank"), mean.alias("mean_rank"))
+
+
+def _placed(medians: DataFrame, group: str, item: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("g").orderBy("median_rank", "mean_rank", "i")).cast("long")
+    return medians.select(F.col("g").alias(group), F.col("i").alias(item), "median_rank", "mean_rank", at.alias("position"))
