@@ -11,10 +11,13 @@ epoch, each epoch in its own seeded order.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from types import MappingProxyType
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +30,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Slices of an epoch's order; a slice is summed by one task.
 SLICES = 1024
-#: The domain each kind of source belongs to; a source not named is a domain of its own.
-DOMAINS = {
-    "sc_reports": "courts", "hc_orders": "courts", "tribunal_notes": "courts", "gazette_scans": "courts",
-    "law_digest": "commentary", "statute_notes": "commentary", "bar_blog": "commentary", "moot_archive": "commentary",
-    "qa_forum": "public", "translations": "public",
-}
-
 
 @lru_cache(maxsize=2)
 def _encoding(path: str):
@@ -45,10 +41,13 @@ def _encoding(path: str):
 
 
 def with_tokens(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, lang, tokens) of every document; a NULL text has no tokens."""
+    """(doc_id, source, lang, tokens) of every document; a NULL text has no tokens.  The vocabulary is sent to the workers."""
+
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    shipped = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(tokenizer)
+        enc = _encoding(SparkFiles.get(shipped))
         for b in batches:
             b["tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in b.pop("text")]
             yield b
@@ -133,13 +132,39 @@ def _epoch_prefix(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     before = Window.partitionBy("source", "lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("source", "lang", "slice").agg(F.sum("tokens").alias("t")).select("source", "lang", "slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "lang", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = placed.join(sums, ["source", "lang", "slice"]).withColumn("end", F.col("start") + F.sum("tokens").over(inside))
-    return cut.filter(F.col("end") - F.col("tokens") / 2 <= F.col("rest")).select("doc_id", "source", F.lit(1).alias("extra"))
+    cut = placed.join(sums, ["source", "lang", "slice"]).withColumn("end", F.col("start") + F.sum("tokens").over(inside)).withColumn("mid", F.col("end") - F.col("tokens") / 2)
+    cut = materialise(cut.select("doc_id", "source", "lang", "rest", "place", "tokens", "end", "mid"), "epochs")
+    ends = cut.join(F.broadcast(_carried(cut)), ["source", "lang"])
+    return ends.filter(F.col("mid") <= F.col("upto")).select("doc_id", "source", F.lit(1).alias("extra"))
+
+
+def _carried(cut: DataFrame) -> DataFrame:
+    """(source, lang, upto): each leaf's prefix budget with what the leaves of its source before it drew too little or too much.
+
+    What is carried is at most half the source's longest document, so only the
+    documents whose middle lies that near to their leaf's budget are looked at;
+    the others are summed beforehand.
+    """
+    reach = cut.groupBy("source").agg((F.max("tokens") / 2).alias("reach"))
+    near = cut.join(reach, "source").withColumn("near", F.abs(F.col("mid") - F.col("rest")) <= F.col("reach"))
+    sure = F.coalesce(F.max(F.when(~F.col("near") & (F.col("mid") < F.col("rest")), F.col("end"))), F.lit(0)).cast("double")
+    leaves = near.groupBy("source", "lang").agg(F.first("place").alias("place"), F.first("rest").alias("rest"), sure.alias("end"), F.lit(float("-inf")).alias("mid"))
+    steps = leaves.unionByName(near.filter("near").select("source", "lang", "place", "rest", F.col("end").cast("double").alias("end"), F.col("mid").cast("double").alias("mid")))
+
+    def carry(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, over = [], 0.0
+        for (_, lang), leaf in frame.groupby(["place", "lang"]):
+            upto = leaf["rest"].iloc[0] + over
+            over = upto - leaf.loc[leaf["mid"] <= upto, "end"].max()
+            rows.append((leaf["source"].iloc[0], lang, upto))
+        return pd.DataFrame(rows, columns=["source", "lang", "upto"])
+
+    return steps.groupBy("source").applyInPandas(carry, "source string, lang string, upto double")
 
 
 def mixture(
     docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-    total_tokens: float | None = None, seed: int = 17, domains: Mapping[str, str] = DOMAINS, tokenizer: str = TOKENIZER,
+    total_tokens: float | None = None, seed: int = 17, domains: Mapping[str, str] = MappingProxyType({}), tokenizer: str = TOKENIZER,
 ) -> DataFrame:
     """(doc_id, source, tokens, uses): the documents drawn, each used at most its source's max_repeats times.
 
@@ -147,8 +172,11 @@ def mixture(
     (of repeated rows the largest values count).  Documents without a source, a
     target, an id or tokens are not drawn; a NULL language is a language of its
     own.  Repeated rows of one document count once.  Without documents or
-    targets nothing is drawn.  A prefix ends at the document boundary nearest
-    to its budget.
+    targets nothing is drawn.  ``domains`` names the domain of a source; one not
+    named is a domain of its own.  A prefix ends at the document boundary
+    nearest to its budget, and the difference goes to the next leaf of its
+    source, the smallest first, so a source misses its share by at most half a
+    document where it has the supply.
     """
     wanted = {r["source"]: (r["w"], r["m"]) for r in targets.filter("source IS NOT NULL AND target_share IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("w"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("m")).collect()}
     counted = with_tokens(docs.filter(F.col(doc_id).isNotNull() & F.col(source).isin(list(wanted))), doc_id, text, source, lang, tokenizer)
@@ -159,10 +187,10 @@ def mixture(
     split = budgets([(domains.get(r["source"], r["source"]), r["lang"], r["source"], r["n"]) for r in sizes], wanted, domains, total_tokens)
     have = {(r["source"], r["lang"]): r["n"] for r in sizes}
     rows = []
-    for leaf, n in split.items():
+    for place, (leaf, n) in enumerate(sorted(split.items(), key=lambda x: (have[x[0]], x[0]))):
         epochs = min(int(n // have[leaf]), wanted[leaf[0]][1])
-        rows.append((*leaf, epochs, float(n - epochs * have[leaf]) if epochs < wanted[leaf[0]][1] else 0.0))
-    plan = docs.sparkSession.createDataFrame(rows, "source string, lang string, epochs int, rest double")
+        rows.append((*leaf, epochs, float(n - epochs * have[leaf]) if epochs < wanted[leaf[0]][1] else 0.0, place))
+    plan = docs.sparkSession.createDataFrame(rows, "source string, lang string, epochs int, rest double, place int")
     extra = _epoch_prefix(counted, plan, seed)
     used = counted.join(F.broadcast(plan), ["source", "lang"]).join(extra, ["doc_id", "source"], "left")
     return used.withColumn("uses", F.col("epochs") + F.coalesce("extra", F.lit(0))).filter("uses > 0").select("doc_id", "source", "tokens", "uses")
