@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,25 +55,35 @@ ENDS = 0.5
 #: A source leaves its last end mark out by habit if this share of its open endings (formulas and texts at the limit apart) end sentences.
 HABIT = 0.25
 
+def _at_end(pattern: str, flags: int = 0) -> regex.Pattern:
+    """A pattern to be matched backwards from the end of a text, whole and without a look at what lies far before."""
+    return regex.compile(f"(?r)(?:{pattern})", flags)
+
+
 _CLOSERS = "\"'”’»)]」』）"
-_END = re.compile(rf"(?:[.?!।॥۔؟。！？…]|[ऀ-ॿ]\s?\|)[{re.escape(_CLOSERS)}\s]*$")
+_END = _at_end(rf"(?:[.?!।॥۔؟。！？…]|[ऀ-ॿ]\s?\|)[{re.escape(_CLOSERS)}\s]*")
 #: Remains of an escape sequence, an entity, a tag or a character cut in the middle, and marks that a system sets at its cut.
-_REMAINS = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#?\w{0,7}|</?[A-Za-z]*(?:\s[^<>]*)?)$")
-_MARKED = re.compile(r"(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|(?:read|see) more|\w(?:…|\.\.\.)|[^.?!\s]\s?…)\s*$", re.I)
-_MARK = re.compile(r"\s*(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|\b(?:read|see) more|…|\.\.\.)\s*$", re.I)
+_REMAINS = _at_end(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#?\w{0,7})")
+_TAG = re.compile(r"</?[A-Za-z]*(?:\s[^<>]*)?")
+_MARKED = _at_end(r"(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|(?:read|see) more|\w(?:…|\.\.\.)|[^.?!\s]\s?…)\s*", regex.I)
+_MARK = _at_end(r"\s*(?:\[\s?(?:\.\.\.|…|more|truncated|cut)\s?\]|\((?:more|contd\.?|continued|truncated|cut)\)|\b(?:read|see) more|…|\.\.\.)\s*", regex.I)
 # Abbreviations that stand before more text and so end no sentence.
-_ABBREVIATION = re.compile(
+_ABBREVIATION = _at_end(
     r"(?:^|[\s(\"“])(?:Mr|Mrs|Ms|Smt|Dr|Shri|Messrs|M/s|Sr|Hon|Ex|No|Nos|no|Rs|s|ss|sub-s|cl|para|paras|Art|Arts|Crl|Supp|S\.C\.C|A\.I\.R|S\.C|v|vs|Vs|p|pp|viz|i\.e|e\.g|w\.e\.f|P\.W|D\.W|"
-    r"Sec|Cr|Vol|r|rr|St|[A-Z](?:\.[A-Z])?|रु|नं|डॉ|श्री|ரூ|எண்|திரு)\.$"
+    r"Sec|Cr|Vol|r|rr|St|[A-Z](?:\.[A-Z])?|रु|नं|डॉ|श्री|ரூ|எண்|திரு)\."
 )
-_OPEN_NUMBER = re.compile(r"(?:Rs\.|रु\.|ரூ\.)\s?[\d,]+\.$|\b\d{1,2}\.\d{1,2}\.$|(?:^|\n)\s*\d{1,3}\.$")
+_SIGNED = _at_end(r"\)\s*\n\s*[A-Z]{1,3}\.?")
+_OPEN_NUMBER = _at_end(r"(?:Rs\.|रु\.|ரூ\.)\s?[\d,]+\.|\b\d{1,2}\.\d{1,2}\.|(?:^|\n)\s*\d{1,3}\.")
+_STOPS = tuple(".?!।॥۔؟。！？|")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*|\d+|[一-鿿]")
-_BREAK = re.compile(r"(?<=[.?!।॥۔؟。！？|])[\"'”’)\]]*\s+|(?<=[。！？])[”’」]?|\n")
+_BREAK_RULE = r"(?<=[.?!।॥۔؟。！？|])[\"'”’)\]]*\s+|(?<=[。！？])[”’」]?|\n"
+_BREAK = re.compile(_BREAK_RULE)
+_LAST_BREAK = regex.compile(f"(?r){_BREAK_RULE}")
 
 
 def _unclosed(text: str) -> bool:
     """Whether the last paragraph opens a quotation or bracket that it does not close."""
-    last = text[-1500:].rsplit("\n", 1)[-1]
+    last = text[text.rfind("\n") + 1 :]
     if last.count('"') % 2 or last.count("“") > last.count("”") or last.count("「") > last.count("」"):
         return True
     return last.rfind("(") > last.rfind(")") or last.rfind("[") > last.rfind("]")
@@ -80,12 +91,28 @@ def _unclosed(text: str) -> bool:
 
 def tail_key(text: str) -> str | None:
     """The last two words, lower-case, with names and numbers masked; the last four characters in scripts without spaces."""
-    found = _WORD.findall([s for s in ("", *_BREAK.split(text[-400:].rstrip())) if s is not None][-1])
+    text = text.rstrip()
+    m = _LAST_BREAK.search(text)
+    found = _WORD.findall(text, m.end() if m else 0)
     if not found or (len(found) < 2 and not "一" <= found[-1] <= "鿿"):
         return None
     if "一" <= found[-1] <= "鿿":
         return "".join(found[-4:])
-    return " ".join("9" if w[0].isdigit() else "W" if w[0].isupper() and i else w.lower() for i, w in enumerate(found[-2:]))
+    return _FORMS[found[-2]][0] + _FORMS[found[-1]][1]
+
+
+class _Forms(dict):
+    """Word -> (its form before another, its form behind another), names and numbers masked; emptied when it grows."""
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        if len(self) > 200_000:
+            self.clear()
+        digit = word[0].isdigit()
+        self[word] = out = ("9 " if digit else f"{word.lower()} ", "9" if digit else "W" if word[0].isupper() else word.lower())
+        return out
+
+
+_FORMS = _Forms()
 
 
 def line_shape(text: str) -> str | None:
@@ -106,15 +133,15 @@ def ending(text: str) -> str:
     t = text.rstrip()
     if not t:
         return "closed"
-    if _REMAINS.search(t) or (_MARKED.search(t) and not t.endswith((" ...", " …"))):
+    if _REMAINS.match(t) or (at := t.rfind("<")) >= 0 and _TAG.fullmatch(t, at) or (_MARKED.match(t) and not t.endswith((" ...", " …"))):
         return "marked"
     if _signature(t):
         return "closed"
-    if _END.search(t):
+    if _END.match(t):
         core = t.rstrip(_CLOSERS + " ")
         if t.endswith((" ...", " …")):
             return "open"
-        if _unclosed(t) or (core.endswith(".") and (_OPEN_NUMBER.search(core[-30:]) or _ABBREVIATION.search(core[-30:]))):
+        if _unclosed(t) or (core.endswith(".") and (_OPEN_NUMBER.match(core[-30:]) or _ABBREVIATION.match(core[-30:]))):
             return "broken"
         return "closed"
     return "open"
@@ -122,13 +149,13 @@ def ending(text: str) -> str:
 
 def _signature(text: str) -> bool:
     """A judge's signature closes a text: the name in brackets on a line, the office in capitals on the last."""
-    return re.search(r"\)\s*\n\s*[A-Z]{1,3}\.?$", text[-40:]) is not None
+    return _SIGNED.match(text) is not None
 
 
 def lengths(text: str) -> list[int]:
     """The text's length under every one of NAMES."""
     whole = [f(text) for f in MEASURES.values()]
-    m = _MARK.search(text[-40:])
+    m = _MARK.match(text)
     return whole + ([f(text[: len(text) - len(m[0])]) for f in MEASURES.values()] if m else whole)
 
 
@@ -143,26 +170,31 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each two-word ending occurs and how often it ends a sentence, added up per worker."""
-    every: Counter[str] = Counter()
-    ends: Counter[str] = Counter()
+    """How often each two-word ending occurs and how often it ends a sentence, added up per worker.
+
+    Words are counted in pairs as they stand; names and numbers are masked once per distinct pair."""
+    every: Counter[tuple[str, ...]] = Counter()
+    ends: Counter[tuple[str, ...]] = Counter()
+
+    def out() -> pd.DataFrame:
+        rows = [("".join(k) if len(k) > 2 else _FORMS[k[0]][0] + _FORMS[k[1]][1], n, ends[k]) for k, n in every.items()]
+        return pd.DataFrame(rows, columns=["tail", "n", "n_end"])
+
     for b in batches:
         for text in b["text"]:
             for s in _BREAK.split(text):
                 w = _WORD.findall(s)
-                if not w:
+                if len(w) < 2:
                     continue
-                han = "一" <= w[-1] <= "鿿"
-                m = ["9" if x[0].isdigit() else "W" if x[0].isupper() else x for x in w]
-                keys = ["".join(w[i : i + 4]) for i in range(len(w) - 3)] if han else [f"{x.lower()} {y}" for x, y in zip(["9" if x[0].isdigit() else x.lower() for x in w], m[1:])]
+                keys = list(zip(w, w[1:], w[2:], w[3:]) if "一" <= w[-1] <= "鿿" else zip(w, w[1:]))
                 every.update(keys)
                 end = s.rstrip(_CLOSERS + " ")
-                if keys and end[-1:] in tuple(".?!।॥۔؟。！？|") and not _ABBREVIATION.search(end[-30:]):
+                if keys and end[-1:] in _STOPS and not _ABBREVIATION.match(end):
                     ends[keys[-1]] += 1
         if len(every) > 200_000:
-            yield pd.DataFrame([(k, n, ends[k]) for k, n in every.items()], columns=["tail", "n", "n_end"])
+            yield out()
             every, ends = Counter(), Counter()
-    yield pd.DataFrame([(k, n, ends[k]) for k, n in every.items()], columns=["tail", "n", "n_end"])
+    yield out()
 
 
 def hidden_limits(features: DataFrame) -> DataFrame:
@@ -170,7 +202,7 @@ def hidden_limits(features: DataFrame) -> DataFrame:
 
     Per source and measure the lengths are counted (rows are source x length,
     not documents); the limit is the largest pile at a length beyond which
-    fewer than a tenth as many texts go.  Cuts moved back to the end of a word
+    fewer than a tenth as many texts go, so a source has one.  Cuts moved back to the end of a word
     pile up over a band (``width``) below the limit instead of at one length.
     """
     pairs = F.arrays_zip(F.array(*map(F.lit, NAMES)).alias("measure"), F.col("lengths").alias("length"))
@@ -221,7 +253,9 @@ def truncated(docs: DataFrame, doc_id: str, text: str, source: str) -> tuple[Dat
     limits = hidden_limits(feats)
     total = feats.count()
     formulas = feats.filter("shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(LEAST, FORMULA_SHARE * total)).select("shape", F.lit(True).alias("formula"))
-    tails = base.select("text").mapInPandas(_tails, "tail string, n long, n_end long").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    # Only endings that have to be decided are counted on; the others go before the shuffle where the asked ones are few.
+    asked = materialise(feats.filter("ending = 'open' AND tail IS NOT NULL").select("tail").distinct(), "tails")
+    tails = base.select("text").mapInPandas(_tails, "tail string, n long, n_end long").join(asked, "tail", "left_semi").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
     place = F.array_position(F.array(*map(F.lit, NAMES)), F.col("measure"))
     length = F.try_element_at("lengths", place.cast("int"))
     open_ = feats.filter("ending = 'open'").join(formulas, "shape", "left").join(tails, "tail", "left").join(limits, "source", "left")
