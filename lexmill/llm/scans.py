@@ -16,23 +16,26 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexmill.session import materialise
 
-#: Forms known to every worker; a bound on what is broadcast, not on what is counted.
-KNOWN = 20_000
+#: Bits of a filter that spares workers most lookups: its size is fixed, a set bit is always confirmed by a join.
+FILTER_BITS = 1 << 23
 #: A form is a misreading if the group's leading form is this many times as frequent, and this often seen.
 RATIO, SUPPORT = 5, 4
 #: A pair of words is one split word if the whole is this many times as frequent as the pair.
 SPLIT_RATIO = 10
 #: A masked line is a running head if so many documents have it.
 HEAD_DOCS = 3
-#: Running heads every worker knows, the most frequent.
-HEADS = 200
+#: A line in capitals is one too if it is so many misread characters from one; shorter lines than this are headings.
+HEAD_EDITS, HEAD_LEAST = 3, 13
 
 # Glyphs mistaken for each other, by class, then pairs mistaken for one glyph.
 _CLASSES = str.maketrans({**dict.fromkeys("i1|!líì", "l"), **dict.fromkeys("o0", "o"), **dict.fromkeys("ec£€", "c"), **dict.fromkeys("tf", "t"), **dict.fromkeys("hb8", "b"), **dict.fromkeys("gq9", "g"), **dict.fromkeys("s§5$", "s")})
@@ -43,10 +46,11 @@ _SPECKS = "•*^~°¤¨`´"
 _SPECK = re.compile(f"[{re.escape(_SPECKS)}]")
 _LIGATURES = str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"})
 _WORD = re.compile(rf"[^\W_]+(?:[{re.escape(_SPECKS)}§£€|¦'’][^\W_]+|[{re.escape(_SPECKS)}§£€|¦])*|[§£€|][^\W_]+(?:[§£€|{re.escape(_SPECKS)}'’]*[^\W_]+)*")
-_CARRIED = re.compile(r"([^\W\d_]+|\w*[^\W\d_])[-‐¬­]\s*$")
+_HYPHENS = "-‐¬­"
 _NUMBERISH = re.compile(r"\d+[A-Z]?|[A-Z]{1,2}\d+|\d+(?:st|nd|rd|th)")
 _MARGIN = re.compile(r"^\s*[A-H]\s*$")
 _MARGIN_SIDE = re.compile(r"(\S)(?:\s{2,}|\t)[A-H]\s*$|^[A-H](?:\s{2,}|\t)(?=\S)")
+_MARGINS = frozenset("ABCDEFGH")
 _HEAD_END = re.compile(r"\(\d{4}\)\s*$|\.{2,}\s*\d*$|\[|\d\s*$")
 _PAGE_NO = re.compile(r"^\W*(?:page\s+)?\[?\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*\]?(?:\s+of\s+\d+)?\W*$", re.I)
 
@@ -107,8 +111,12 @@ def _title_lines(lines: list[str]) -> int:
     return n if n < len(lines) and n <= 12 else 0
 
 
-def page_matter(line: str, pages: tuple[int, int] | None, title: str, heads: tuple[str, ...]) -> bool:
-    """Whether a whole line belongs to the page and not to the text."""
+def _capitals(bare: str) -> bool:
+    return sum(map(str.isupper, bare)) > 0.5 * sum(map(str.isalpha, bare))
+
+
+def page_matter(line: str, pages: tuple[int, int] | None, title: str, heads: frozenset[str]) -> bool:
+    """Whether a whole line belongs to the page and not to the text; ``heads``: masked forms of running heads."""
     bare = line.replace("\f", "").strip()
     if not bare:
         return False
@@ -117,16 +125,34 @@ def page_matter(line: str, pages: tuple[int, int] | None, title: str, heads: tup
     if _PAGE_NO.match(bare):
         n = int(re.search(r"\d+", bare)[0])
         return not bare[-1] == "." and (not bare.isdigit() or pages is None or pages[0] - 1 <= n <= pages[1] + 1)
-    capitals = sum(c.isupper() for c in bare) > 0.5 * sum(c.isalpha() for c in bare)
+    capitals = _capitals(bare)
     marked = bare.upper() == bare or _HEAD_END.search(bare)
     if not capitals and not marked:
         return False
-    form = masked(bare)
-    if form in heads or (capitals and len(bare) > 12 and any(_near(form, h, 3) for h in heads)):
+    if heads and masked(bare) in heads:
         return True
     # The document's own title, perhaps cut, with a page number, a year or judges beside it.
-    own, this = re.sub(r"[^a-z0-9]", "", skeleton(title)), re.sub(r"[^a-z0-9]", "", skeleton(re.sub(r"^\W*\d*\W*", "", bare)))
-    return bool(marked) and len(own) >= 8 and _near(this[:12], own[:12], 2 if capitals else 1)
+    if not marked:
+        return False
+    own, this = _title_form(title), re.sub(r"[^a-z0-9]", "", skeleton(re.sub(r"^\W*\d*\W*", "", bare)))
+    return len(own) >= 8 and _near(this[:12], own[:12], 2 if capitals else 1)
+
+
+@lru_cache(maxsize=10_000)
+def _title_form(title: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", skeleton(title))
+
+
+def _carried(line: str) -> bool:
+    """Whether the last word goes on in the next line: a letter and a hyphen at the end."""
+    t = line.rstrip()
+    return len(t) > 1 and t[-1] in _HYPHENS and t[-2].isalnum() and not t[-2].isdigit()
+
+
+def _without_margin(line: str) -> str:
+    """The line without a margin letter beside its words."""
+    t = line.rstrip()
+    return _MARGIN_SIDE.sub(r"\1", line) if t[-1:] in _MARGINS or t[:1] in _MARGINS else line
 
 
 def _lines(text: str) -> tuple[list[str], int, str]:
@@ -135,47 +161,111 @@ def _lines(text: str) -> tuple[list[str], int, str]:
     return lines, n, " ".join(lines[: max(0, n - 2)]) if n else ""
 
 
-def _tokens(line: str) -> Iterator[re.Match]:
-    return _WORD.finditer(line)
-
-
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word forms and masked lines of whole documents, added up per worker."""
+    """Word forms of whole documents, added up per worker, and the masked lines of each scan that may be running heads."""
     forms: Counter[tuple[str, bool]] = Counter()
-    heads: Counter[str] = Counter()
+    heads: list[tuple[str, str, bool]] = []
 
     def out() -> pd.DataFrame:
-        rows = [("w", f, n, n if d else 0) for (f, d), n in forms.items()] + [("h", h, n, 0) for h, n in heads.items()]
-        return pd.DataFrame(rows, columns=["what", "form", "n", "clean"])
+        rows = [("w", f, n, n if d else 0, None) for (f, d), n in forms.items()] + [("h", h, 1, int(c), doc) for doc, h, c in heads]
+        return pd.DataFrame(rows, columns=["what", "form", "n", "clean", "doc_id"])
 
     for b in batches:
-        for text, layer in zip(b["text"], b["layer"]):
+        for doc, text, layer in zip(b["doc_id"], b["text"], b["layer"]):
             lines, top, _ = _lines(text)
             digital = layer != "scan"
             carry = ""
-            seen = set()
+            seen: dict[str, bool] = {}
             for whole in lines[top:]:
-                line = _MARGIN_SIDE.sub(r"\1", whole)
-                words = [folded(m[0]) for m in _tokens(line)]
+                line = _without_margin(whole)
+                words = [folded(w) for w in _WORD.findall(line)]
                 if carry and words:
                     words[0] = carry + words[0]
                 carry = ""
-                m = _CARRIED.search(line)
-                if m and words:
+                if words and _carried(line):
                     carry = words.pop()
                 forms.update((w, digital) for w in words)
-                if not digital and 12 < len(line.strip()) < 90 and sum(c.isupper() for c in line) > len(line) / 3:
-                    seen.add(masked(line.replace("\f", "")))
-            heads.update(seen)
+                bare = whole.replace("\f", "").strip()
+                if not digital and len(bare) >= HEAD_LEAST and sum(map(str.isupper, bare)) > len(bare) / 3:
+                    form = masked(bare)
+                    seen[form] = seen.get(form, False) or _capitals(bare)
+            heads += [(doc, h, c) for h, c in seen.items()]
         if len(forms) + len(heads) > 200_000:
             yield out()
-            forms, heads = Counter(), Counter()
+            forms, heads = Counter(), []
     yield out()
 
 
-def word_forms(docs: DataFrame) -> DataFrame:
-    """(what, form, n, clean): word forms (``w``) and masked upper-case lines of scans (``h``) with their counts over all documents."""
-    return docs.mapInPandas(_count, "what string, form string, n long, clean long").groupBy("what", "form").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+def word_forms(counts: DataFrame) -> DataFrame:
+    """(form, n, clean): word forms with their counts over all documents, and over those that were not scanned."""
+    return counts.filter("what = 'w'").groupBy("form").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+
+
+def running_heads(counts: DataFrame) -> DataFrame:
+    """(doc_id, heads): the masked forms of each document's lines that recur as heads or are a misread head.
+
+    A misread head lies within HEAD_EDITS of one.  Cut into one part more than
+    edits, a head shares a part with it, at most so many places off, so the
+    two meet on (part, text of the part) and are then compared.
+    """
+    lines = counts.filter("what = 'h'").select("doc_id", "form", (F.col("clean") > 0).alias("capitals"))
+    forms = materialise(lines.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.bool_or("capitals").alias("capitals")), "heads")
+    parts = HEAD_EDITS + 1
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for form, head in zip(b["form"], b["head"]):
+                # A line's parts are those of every head it may be a misreading of: as long, or a few characters longer or shorter.
+                for n in [len(form)] if head else range(max(parts, len(form) - HEAD_EDITS), len(form) + HEAD_EDITS + 1):
+                    for k in range(parts):
+                        lo, hi = n * k // parts, n * (k + 1) // parts
+                        for off in [0] if head else range(-HEAD_EDITS, HEAD_EDITS + 1):
+                            if 0 <= lo + off and hi + off <= len(form):
+                                rows.append((form, head, n, k, form[lo + off : hi + off]))
+            yield pd.DataFrame(rows, columns=["form", "head", "n", "part", "piece"]).drop_duplicates()
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[_near(x, y, HEAD_EDITS) for x, y in zip(b["form"], b["of"])], ["form"]]
+
+    cut = forms.filter((F.col("n") >= HEAD_DOCS) | F.col("capitals")).select("form", (F.col("n") >= HEAD_DOCS).alias("head")).mapInPandas(pieces, "form string, head boolean, n int, part int, piece string")
+    mine = cut.filter("head").select("n", "part", "piece", F.col("form").alias("of"))
+    met = cut.filter("not head").join(mine, ["n", "part", "piece"]).select("form", "of").distinct().mapInPandas(near, "form string")
+    every = forms.filter(F.col("n") >= HEAD_DOCS).select("form").union(met).distinct()
+    return lines.join(every, "form").groupBy("doc_id").agg(F.collect_set("form").alias("heads"))
+
+
+class _Filter:
+    """Forms that may be in a table: no for most others, never no for one that is in it."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.mask = 64 * len(words) - 1
+        self.known: dict[str, bool] = {}
+
+    def __contains__(self, form: str) -> bool:
+        got = self.known.get(form)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            at = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), seed=42) & self.mask
+            got = self.known[form] = bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+        return got
+
+
+def _filters(*tables: DataFrame) -> list:
+    """A broadcast filter of each table's ``form``, from one job."""
+    spark = tables[0].sparkSession
+    rows = tables[0].select(F.lit(0).alias("t"), "form")
+    for i, t in enumerate(tables[1:], 1):
+        rows = rows.union(t.select(F.lit(i), "form"))
+    at = F.pmod(F.xxhash64("form"), F.lit(FILTER_BITS))
+    bits = rows.filter("form is not null").groupBy("t", F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits"))
+    filters = np.zeros((len(tables), FILTER_BITS // 64), dtype=np.uint64)
+    got = bits.toPandas()
+    filters[got["t"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return [spark.sparkContext.broadcast(f) for f in filters]
 
 
 def corrections(forms: DataFrame) -> DataFrame:
@@ -192,7 +282,7 @@ def corrections(forms: DataFrame) -> DataFrame:
             for way in range(3):
                 yield b.assign(skeleton=[f"{way}{s[way]}" for s in both])
 
-    words = forms.filter("what = 'w'").select("form", "n", "clean").mapInPandas(grouped, "form string, n long, clean long, skeleton string")
+    words = forms.select("form", "n", "clean").mapInPandas(grouped, "form string, n long, clean long, skeleton string")
     plain = F.col("form").rlike(r"^[\p{L}]+('[\p{L}]+)?$")
     lead = words.filter(plain).groupBy("skeleton").agg(F.max_by(F.struct("form", "n"), F.struct("clean", "n", "form")).alias("lead"))
     pair = words.filter(F.col("form").rlike(r"\p{L}")).join(lead, "skeleton").filter((F.col("form") != F.col("lead.form")) & (F.col("lead.n") >= SUPPORT) & (F.col("lead.n") >= RATIO * F.col("n")) & (F.length("form") > 1))
@@ -200,22 +290,25 @@ def corrections(forms: DataFrame) -> DataFrame:
     return one.select("form", F.col("p.lead.form").alias("fixed"), F.col("p.n").alias("n"), F.col("p.lead.n").alias("m"), (F.col("p.clean") > 0).alias("known"))
 
 
-def _pairs(known: frozenset[str], ambiguous: dict[str, str]):
-    """Counter of word pairs that may be one split word, and of the contexts of ambiguous forms."""
-    wanted = set(ambiguous) | set(ambiguous.values())
+def _pairs(known, wanted):
+    """Counter of word pairs that may be one split word, and of the contexts of forms that may be misreadings or misread."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wholes, asked = _Filter(known.value), _Filter(wanted.value)
         pairs: Counter[tuple[str, str, str]] = Counter()
         for b in batches:
             for text in b["text"]:
                 last = ""
-                for m in _tokens(text):
-                    w = folded(m[0])
-                    if last and last + w in known:
+                for raw in _WORD.findall(text):
+                    w = folded(raw)
+                    if last and last + w in wholes:
                         pairs[("s", last, w)] += 1
-                    if w in wanted:
+                    if w in asked:
                         pairs[("c", last, w)] += 1
                     last = w
+            if len(pairs) > 200_000:
+                yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["what", "a", "b", "n"])
+                pairs.clear()
         yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["what", "a", "b", "n"])
 
     return count
@@ -244,37 +337,38 @@ def flagged_lines(docs: DataFrame, entries: DataFrame | None = None) -> DataFram
     lines; documents that are not scans serve the counts only.
     """
     docs = materialise(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "scan-docs")
-    forms = materialise(word_forms(docs), "forms")
-    # Sets of bounded size for every worker: the most frequent forms, the recurring heads, the ambiguous forms among the frequent.
+    counts = materialise(docs.mapInPandas(_count, T.StructType([*T.StructType.fromDDL("what string, form string, n long, clean long").fields, T.StructField("doc_id", docs.schema["doc_id"].dataType)])), "counts")
+    forms = materialise(word_forms(counts), "forms")
     fixes = materialise(corrections(forms), "fixes")
-    top = forms.filter((F.col("what") == "w") & (F.col("n") >= SUPPORT)).join(fixes.filter("not known").select("form"), "form", "left_anti").orderBy(F.desc("n"), "form").limit(KNOWN)
-    known = frozenset(r["form"] for r in top.collect())
-    heads = tuple(r["form"] for r in forms.filter((F.col("what") == "h") & (F.col("n") >= HEAD_DOCS)).orderBy(F.desc("n"), "form").limit(HEADS).collect())
-    ambiguous = {r["form"]: r["fixed"] for r in fixes.filter("known").orderBy(F.desc("n"), "form").limit(KNOWN).collect()}
-    pairs = materialise(docs.select("text").mapInPandas(_pairs(known, ambiguous), "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "pairs")
-    whole = forms.filter("what = 'w'").select(F.col("form").alias("whole"), F.col("n").alias("m"))
+    sure, ambiguous = fixes.filter("not known").select("form", "fixed"), fixes.filter("known").select("form", "fixed")
+    wholes = forms.filter(F.col("n") >= SUPPORT).join(sure, "form", "left_anti").select("form", "n")
+    pairs = materialise(docs.select("text").mapInPandas(_pairs(*_filters(wholes, ambiguous.select("form").union(ambiguous.select("fixed")))), "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "pairs")
+    whole = wholes.select(F.col("form").alias("whole"), F.col("n").alias("m"))
     split = pairs.filter("what = 's'").withColumn("whole", F.concat("a", "b")).join(whole, "whole").filter((F.length("whole") > 4) & (F.col("m") >= SPLIT_RATIO * F.col("n"))).select(F.concat_ws(" ", "a", "b").alias("form"), F.col("whole").alias("fixed"))
     # An ambiguous form is a misreading where its leading form is far more frequent after the same word.
-    amb = docs.sparkSession.createDataFrame(list(ambiguous.items()) or [("", "")], "b string, fixed string")
     ctx = pairs.filter("what = 'c'").select("a", "b", "n")
     other = ctx.select("a", F.col("b").alias("fixed"), F.col("n").alias("m"))
-    context = ctx.join(F.broadcast(amb), "b").join(other, ["a", "fixed"]).filter((F.col("m") >= SUPPORT) & (F.col("m") >= RATIO * F.col("n"))).select(F.concat_ws(" ", F.lit("@"), "a", "b").alias("form"), "fixed")
+    context = ctx.join(ambiguous.withColumnRenamed("form", "b"), "b").join(other, ["a", "fixed"]).filter((F.col("m") >= SUPPORT) & (F.col("m") >= RATIO * F.col("n"))).select(F.concat_ws(" ", F.lit("@"), "a", "b").alias("form"), "fixed")
     # Single letters are initials or margins; they are never looked up.
-    rules = fixes.filter("not known").select("form", "fixed").unionByName(split).unionByName(context)
+    rules = materialise(sure.unionByName(split).unionByName(context), "rules")
+    ruled, unclear = _filters(rules, ambiguous)
 
-    pages = docs.filter("layer = 'scan'").select("doc_id", "text")
+    beside = running_heads(counts)
     if entries is not None:
         keys = entries.filter(F.col("path").isNotNull()).groupBy(F.concat("path", F.lit("_EN")).alias("doc_id")).agg(F.min("pdf_key").alias("pdf_key"))
-        pages = pages.join(keys, "doc_id", "left")
+        beside = beside.join(keys, "doc_id", "full_outer")
     else:
-        pages = pages.withColumn("pdf_key", F.lit(None).cast("string"))
+        beside = beside.withColumn("pdf_key", F.lit(None).cast("string"))
+    pages = docs.filter("layer = 'scan'").select("doc_id", "text").join(beside, "doc_id", "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row per line, with the forms in it that might be misread."""
+        rule, doubt = _Filter(ruled.value), _Filter(unclear.value)
         for b in batches:
             rows = []
-            for doc, text, key in zip(b["doc_id"], b["text"], b["pdf_key"]):
+            for doc, text, key, known_heads in zip(b["doc_id"], b["text"], b["pdf_key"], b["heads"]):
                 lines, n_top, title = _lines(text)
+                heads = frozenset(known_heads) if known_heads is not None else frozenset()
                 span = page_range(key) or page_range(doc)
                 carry, last = "", ""
                 for no, line in enumerate(lines, 1):
@@ -284,24 +378,24 @@ def flagged_lines(docs: DataFrame, entries: DataFrame | None = None) -> DataFram
                     if page_matter(line, span, title, heads):
                         rows.append((doc, no, line, False, True, False, False, []))
                         continue
-                    margin = _MARGIN_SIDE.search(line) is not None or "\f" in line
-                    body = _MARGIN_SIDE.sub(r"\1", line)
-                    carried = _CARRIED.search(body) is not None
-                    found = [m[0] for m in _tokens(body)]
+                    body = _without_margin(line)
+                    margin = body != line or "\f" in line
+                    carried = _carried(body)
+                    found = _WORD.findall(body)
                     asked = []
                     noisy = False
                     ends = len(found) - 1 if carried else -1
                     for i, raw in enumerate(found):
                         w = folded(raw)
                         if i == 0 and carry:
-                            if carry + w not in known:
+                            if carry + w in rule:
                                 asked.append(f"+{carry} {w}")
                         elif i != ends:
-                            if last + w in known:
+                            if f"{last} {w}" in rule:
                                 asked.append(f"{last} {w}")
-                            if w in ambiguous:
+                            if w in doubt and f"@ {last} {w}" in rule:
                                 asked.append(f"@ {last} {w}")
-                            if w not in known and len(w) > 1:
+                            if len(w) > 1 and w in rule:
                                 asked.append(w)
                         if _noisy(raw):
                             noisy = True
@@ -329,7 +423,7 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if title:
                 out.append(line)
                 continue
-            t = _SPECK.sub("", _MARGIN_SIDE.sub(r"\1", line).replace("\f", "").translate(_LIGATURES))
+            t = _SPECK.sub("", _without_margin(line).replace("\f", "").translate(_LIGATURES))
             for form, fixed in sorted((swaps or {}).items() if isinstance(swaps, dict) else (swaps or []), key=lambda x: -len(x[0])):
                 old = _SPECK.sub("", form.split(" ", 2)[2] if form.startswith("@ ") else form)
                 t = re.sub(rf"(?<!\w){re.escape(old)}(?!\w)", lambda m, f=fixed: f.upper() if len(m[0]) > 1 and m[0].isupper() else f.capitalize() if m[0][:1].isupper() else f, t, flags=re.I)
