@@ -100,6 +100,19 @@ def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pd.Series) -> pd.Series:
+    """Each token's stem; abbreviations, numbers and sections stay as they are."""
+    return tokens.map(lambda ts: [stem_token(t) for t in ts], na_action="ignore")
+
+
+@lru_cache(maxsize=200_000)
+def stem_token(token: str) -> str:
+    from lexmill.functions.text import LEGAL, LEGAL_NUMBER
+
+    return token if token in LEGAL or re.match(LEGAL_NUMBER, token) else stem(token)
+
+
 def stemmed(postings: DataFrame, term: str = "term") -> DataFrame:
     """Replace the terms by their stems: only distinct words go through Python, the result joins back."""
     from lexmill.functions.text import is_legal

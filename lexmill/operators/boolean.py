@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.stem import stem_token
 from lexmill.functions.text import LEGAL, LEGAL_NUMBER, STOP, TOKEN
 
 _LEX = re.compile(r'"[^"]*"|/\w+|[()]|[^\s()]+')
@@ -49,18 +50,20 @@ class Or:
     parts: tuple
 
 
-def query_tokens(text: str) -> list[str]:
-    """Tokens of a query's text, spelled as in the index."""
+def query_tokens(text: str, stems: bool = False) -> list[str]:
+    """Tokens of a query's text, spelled as in the index and stemmed if it is."""
     t = re.sub(r"\[(\d{4})\]", r"\1", text)
     for dotted, plain in ((r"\bS\.C\.R\.", "SCR"), (r"\bS\.C\.C\.", "SCC"), (r"\bI\.N\.S\.C\.", "INSC"), (r"\bCr\.\s*P\.?\s*C\.", "CrPC")):
         t = re.sub(dotted, plain, t, flags=re.I)
-    return [w for w in re.findall(TOKEN, t.lower()) if w in LEGAL or re.match(LEGAL_NUMBER, w) or w not in STOP]
+    found = [w for w in re.findall(TOKEN, t.lower()) if w in LEGAL or re.match(LEGAL_NUMBER, w) or w not in STOP]
+    return [stem_token(w) for w in found] if stems else found
 
 
 class Parser:
     """Precedence, loosest first: OR, AND, NOT, proximity; adjacent words without an operator are malformed."""
 
-    def __init__(self, query: str) -> None:
+    def __init__(self, query: str, stems: bool = False) -> None:
+        self.stems = stems
         self.items = _LEX.findall(query or "")
         self.at = 0
         self.depth = 0
@@ -125,18 +128,18 @@ class Parser:
                 raise ValueError("missing )")
             return tree
         if len(item) > 1 and item[0] == item[-1] == '"':
-            words = query_tokens(item[1:-1]) or item[1:-1].lower().split()
+            words = query_tokens(item[1:-1], self.stems) or item[1:-1].lower().split()
             if not words:
                 raise ValueError("empty phrase")
             return Phrase(tuple(words))
-        words = query_tokens(item) or [re.sub(r"[^\w-]", "", item.lower())]
+        words = query_tokens(item, self.stems) or [re.sub(r"[^\w-]", "", item.lower())]
         if not words[0]:
             raise ValueError(f"no term in {item!r}")
         return Term(words[0])
 
 
-def parse(query: str):
-    return Parser(query).parse()
+def parse(query: str, stems: bool = False):
+    return Parser(query, stems).parse()
 
 
 def terms(tree) -> list[str]:
@@ -220,12 +223,12 @@ def evaluate_one_by_one(tree, pos: DataFrame, docs: DataFrame) -> DataFrame:
     return evaluate(tree, pos, docs)
 
 
-def candidates(query: str, pos: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+def candidates(query: str, pos: DataFrame, docs: DataFrame, stems: bool = False) -> tuple[DataFrame, list[str]]:
     """(documents, terms to score); a query that cannot be parsed is a bag of words."""
     try:
-        tree = parse(query)
+        tree = parse(query, stems)
     except ValueError:
-        words = list(dict.fromkeys(query_tokens(query)))
+        words = list(dict.fromkeys(query_tokens(query, stems)))
         return pos.filter(F.col("term").isin(words)).select("doc_id").distinct(), words
     return evaluate(tree, pos, docs), list(dict.fromkeys(terms(tree)))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Parent rows to one key range; a range is one task's sort and one container per period.
+#: Distinct keys of both sides to one key range; a range is one task's sort and one container per period.
 KEYS_PER_RANGE = 16_384
 WORD_BITS = 64
 _STAY = "array<struct<since:timestamp,until:timestamp>>"
@@ -155,10 +155,12 @@ def orphan_rows(references: Mapping[str, Reference], parents: DataFrame, key: st
     """
     tables = list(references)
     rows = referring_rows(references)
+    lo, hi, named_keys = rows.agg(F.min("period"), F.max("period"), F.approx_count_distinct("key")).first()
     if ranges is None:
-        ranges = max(1, -(-parents.count() // KEYS_PER_RANGE))
+        # Missing keys are coded too, so both sides decide; an estimate will do, as any number of ranges gives the same rows.
+        held_keys = parents.agg(F.approx_count_distinct(normal_key(F.col(key)))).first()[0]
+        ranges = max(1, -(-(named_keys + held_keys) // KEYS_PER_RANGE))
     coded = _encoded(rows, parents, key, since, until, ranges)
-    lo, hi = rows.agg(F.min("period"), F.max("period")).first()
     open_bits = _decoded(_bitmaps(coded, tables, *((lo, hi) if lo is not None else (0, -1))), tables)
     named = coded.filter(F.col("src_table").isNotNull())
     missing = named.join(open_bits, ["src_table", "rng", "ord", "period"]).select("src_table", "key", "period", "absent", "stays")

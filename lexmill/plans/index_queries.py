@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.stem import stemmed
 from lexmill.functions.text import LEGAL, LEGAL_NUMBER, STOP
-from lexmill.operators import boolean, index, scoring
-from lexmill.plans.sqltext import WEIGHT_CASE, ZONE_CTE, raw_tokens_of, words
+from lexmill.operators import boolean, index, scoring, stored
+from lexmill.plans.sqltext import STEM_CTE, WEIGHT_CASE, ZONE_CTE, raw_tokens_of, words
 from lexmill.session import load
 
 #: The words and queries searched for.
@@ -25,6 +27,10 @@ def _pos(spark: SparkSession, sf: str) -> DataFrame:
     return index.positions(_zones(spark, sf))
 
 
+def _index(spark: SparkSession, sf: str, stems: bool = False) -> stored.Index:
+    return stored.once(spark, sf, lambda: _zones(spark, sf), stems)
+
+
 def tokenize(spark, sf):
     """Positions of tokens in each zone."""
     return _pos(spark, sf)
@@ -82,10 +88,10 @@ def stemmed_vocab(spark, sf):
     return index.vocabulary(stemmed(_pos(spark, sf)))
 
 
-def _match(query: str):
+def _match(query: str, stems: bool = False):
     def run(spark, sf):
-        pos = _pos(spark, sf)
-        return boolean.evaluate(boolean.parse(query), pos, _zones(spark, sf))
+        ix = _index(spark, sf, stems)
+        return boolean.evaluate(boolean.parse(query, stems), ix.positions, ix.norms)
 
     run.__doc__ = f"Documents that match: {query}"
     return run
@@ -115,41 +121,58 @@ def param_filter(spark, sf):
     return boolean.filtered(meta, bench=None).unionByName(boolean.filtered(meta, bench=2, unknown=5))
 
 
-def bm25_zone(spark, sf):
-    """K1, K2."""
-    s = scoring.bm25_zone(_pos(spark, sf), _zones(spark, sf), WORDS)
-    return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("rel", *index.ZONES)])
+def _bm25_zone(spark, sf, stems):
+    ix = _index(spark, sf, stems)
+    return stored.bm25_zone(ix, ix.words(" ".join(WORDS))).select("doc_id", *[F.round(c, 6).alias(c) for c in ("rel", *index.ZONES)])
 
 
-def bm25_flat(spark, sf):
-    """K3."""
-    return scoring.bm25_flat(_pos(spark, sf), _zones(spark, sf), FLAT_WORDS).select("doc_id", F.round("score", 6).alias("score"))
+def _score(way):
+    def run(spark, sf, stems):
+        ix = _index(spark, sf, stems)
+        return way(ix, ix.words(" ".join(FLAT_WORDS))).select("doc_id", F.round("score", 6).alias("score"))
 
+    return run
 
-def lnc_ltc(spark, sf):
-    """K4."""
-    return scoring.lnc_ltc(_pos(spark, sf), FLAT_WORDS).select("doc_id", F.round("score", 6).alias("score"))
 
+def _search_top(spark, sf, stems):
+    return stored.search(_index(spark, sf, stems), "confession AND NOT murder", 10).select("doc_id", F.round("rel", 6).alias("rel"))
 
-def okapi(spark, sf):
-    """K9."""
-    return scoring.okapi(_pos(spark, sf), _zones(spark, sf), FLAT_WORDS).select("doc_id", F.round("score", 6).alias("score"))
 
+def _rank_cosine(spark, sf, stems):
+    ix = _index(spark, sf, stems)
+    docs, terms = stored.candidates(ix, "confession OR recovery")
+    scored = docs.join(stored.lnc_ltc(ix, terms), "doc_id", "left")
+    return scoring.top_k(scored.select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score")), 10)
 
-def search_top(spark, sf):
-    """K5, K6: the ten best of a parsed query; negated words score too."""
-    pos, z = _pos(spark, sf), _zones(spark, sf)
-    docs, terms = boolean.candidates("confession AND NOT murder", pos, z)
-    scored = docs.join(scoring.bm25_zone(pos, z, terms), "doc_id", "left")
-    return scoring.top_k(scored.select("doc_id", F.round(F.coalesce("rel", F.lit(0.0)), 6).alias("rel")), 10, "rel")
 
+#: Searches over a stored index, of words as they stand and (``stem_...``) of stems.
+SEARCHES = {
+    "bm25_zone": (_bm25_zone, "K1, K2"),
+    "bm25_flat": (_score(stored.bm25_flat), "K3"),
+    "lnc_ltc": (_score(stored.lnc_ltc), "K4"),
+    "okapi": (_score(stored.okapi), "K9"),
+    "search_top": (_search_top, "K5, K6: the ten best of a parsed query; negated words score too"),
+    "rank_cosine": (_rank_cosine, "K7: the same candidates under another scoring, unscored ones at 0"),
+}
 
-def rank_cosine(spark, sf):
-    """K7: the same candidates under another scoring, unscored ones at 0."""
-    pos, z = _pos(spark, sf), _zones(spark, sf)
-    docs, terms = boolean.candidates("confession OR recovery", pos, z)
-    scored = docs.join(scoring.lnc_ltc(pos, terms), "doc_id", "left")
-    return scoring.top_k(scored.select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score")), 10)
+
+def _over(way, doc: str, stems: bool):
+    def run(spark, sf):
+        return way(spark, sf, stems)
+
+    run.__doc__ = f"{doc}, over stems." if stems else f"{doc}."
+    return run
+
+
+def stem_tokens(spark, sf):
+    """Positions of stems in each zone."""
+    return _index(spark, sf, True).positions
+
+
+def stem_lookup(spark, sf):
+    """I4, I8: a query word finds the other forms of its stem: documents by stem of four queried words."""
+    ix = _index(spark, sf, True)
+    return ix.postings.filter(F.col("term").isin(ix.words("confessions recoveries murdered proceedings"))).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("cf"))
 
 
 def spearman(spark, sf):
@@ -181,8 +204,9 @@ BOOLEAN = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, postings, vocab_df, top_terms, doc_norms, zone_stats, postings_in_zone, top_documents, token_fate, stemmed_vocab, naive_differs, phrase_per_zone, bow_fallback, param_filter, bm25_zone, bm25_flat, lnc_ltc, okapi, search_top, rank_cosine, spearman, overlap_at_10)
-} | {k: _match(q) for k, q in BOOLEAN.items()}
+    for f in (tokenize, postings, vocab_df, top_terms, doc_norms, zone_stats, postings_in_zone, top_documents, token_fate, stemmed_vocab, naive_differs, phrase_per_zone, bow_fallback, param_filter, spearman, overlap_at_10, stem_tokens, stem_lookup)
+} | {k: _match(q) for k, q in BOOLEAN.items()} | {f"stem_{k}": _match(q, True) for k, q in BOOLEAN.items()}
+QUERIES |= {p + k: _over(way, doc, bool(p)) for p in ("", "stem_") for k, (way, doc) in SEARCHES.items()}
 
 
 def _has(term: str) -> str:
@@ -193,7 +217,7 @@ def _near(a: str, b: str, k: int) -> str:
     return f"SELECT DISTINCT l.doc_id FROM p l JOIN p r ON l.doc_id = r.doc_id AND abs(l.pos - r.pos) <= {k} WHERE l.term = '{a}' AND r.term = '{b}'"
 
 
-def _bm25_zone(terms: list[str]) -> str:
+def _bm25_zone_sql(terms: list[str]) -> str:
     return f"""
 h AS (SELECT doc_id, zone, term, count(*) AS tf FROM p WHERE term IN ({words(terms)}) GROUP BY ALL),
 dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM h GROUP BY term),
@@ -234,11 +258,11 @@ ORACLE = {
     "phrase_per_zone": f"{_W} SELECT DISTINCT a.doc_id, a.zone FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.zone = b.zone AND b.pos = a.pos + 1 WHERE a.term = 'dying' AND b.term = 'declaration'",
     "bow_fallback": f"{_W} SELECT DISTINCT doc_id FROM p WHERE term IN ('confession', 'recovery')",
     "param_filter": "SELECT DISTINCT doc_id, case_year, bench FROM doc_meta WHERE bench IS NULL OR bench = 2",
-    "bm25_zone": f"{_W}, {_bm25_zone(WORDS)} SELECT doc_id, round(rel, 6) AS rel, {', '.join(f'round({x}, 6) AS {x}' for x in index.ZONES)} FROM zr",
+    "bm25_zone": f"{_W}, {_bm25_zone_sql(WORDS)} SELECT doc_id, round(rel, 6) AS rel, {', '.join(f'round({x}, 6) AS {x}' for x in index.ZONES)} FROM zr",
     "bm25_flat": f"{_W}, {_TF}, {_Q}, h AS (SELECT doc_id, term, tf, qtf FROM tf0 JOIN q USING (term)), d AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * {_SAT}), 6) AS score FROM h JOIN d USING (term) JOIN ds USING (doc_id) CROSS JOIN w GROUP BY doc_id",
     "lnc_ltc": f"{_W}, {_cosine(_Q)} SELECT doc_id, round(score, 6) AS score FROM cs",
     "okapi": f"{_W}, {_TF}, {_Q}, v AS (SELECT term, count(*) AS df FROM tf0 GROUP BY term), i AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM v CROSS JOIN w), m AS (SELECT avg(idf) AS mean FROM i), mi AS (SELECT term, CASE WHEN idf < 0 THEN mean * 0.25 ELSE idf END AS idf FROM i CROSS JOIN m) SELECT doc_id, round(sum(qtf * idf * {_SAT}), 6) AS score FROM tf0 JOIN q USING (term) JOIN mi USING (term) JOIN ds USING (doc_id) CROSS JOIN w GROUP BY doc_id",
-    "search_top": f"{_W}, {_bm25_zone(['confession', 'murder'])}, c AS ({_has('confession')} EXCEPT {_has('murder')}) SELECT doc_id, round(coalesce(rel, 0), 6) AS rel FROM c LEFT JOIN zr USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 10",
+    "search_top": f"{_W}, {_bm25_zone_sql(['confession', 'murder'])}, c AS ({_has('confession')} EXCEPT {_has('murder')}) SELECT doc_id, round(coalesce(rel, 0), 6) AS rel FROM c LEFT JOIN zr USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 10",
     "rank_cosine": f"{_W}, {_cosine("q(term, qtf) AS (VALUES ('confession', 1), ('recovery', 1))")}, c AS ({_has('confession')} UNION {_has('recovery')}) SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN cs USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 10",
     "spearman": f"WITH {_HITS}, b AS (SELECT a.qid, a.doc_id, a.rel AS x, c.rel AS y FROM h a JOIN h c USING (qid, doc_id) WHERE a.system_name = 'zone_bm25' AND c.system_name = 'lnc_ltc'), r AS (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY x DESC) + (count(*) OVER (PARTITION BY qid, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY qid ORDER BY y DESC) + (count(*) OVER (PARTITION BY qid, y) - 1) / 2.0 AS ry FROM b) SELECT qid, count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY qid",
     "overlap_at_10": f"WITH {_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, system_name ORDER BY rel DESC, doc_id) AS rn FROM h), k AS (SELECT * FROM t WHERE rn <= 10) SELECT a.qid, count(*) / 10.0 AS overlap FROM k a JOIN k b USING (qid, doc_id) WHERE a.system_name = 'zone_bm25' AND b.system_name = 'lnc_ltc' GROUP BY a.qid",
@@ -252,3 +276,21 @@ ORACLE = {
     "proximity_s": f"{_W} {_near('recovery', 'evidence', 5)}",
     "token_fate": f"{_W}, r AS (SELECT unnest({raw_tokens_of('text')}) AS t FROM z) SELECT CASE WHEN t IN ({words(LEGAL)}) OR regexp_matches(t, '{LEGAL_NUMBER}') THEN 'kept' WHEN t IN ({words(STOP)}) THEN 'stop word' ELSE 'word' END AS fate, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM r GROUP BY 1",
 }
+
+
+def _stemmed_sql(query: str, asked: list[str]) -> str:
+    """A comparison query over stems: the same SQL with the stemmed positions, its words stemmed by SQL too."""
+    query = query.replace(ZONE_CTE, STEM_CTE, 1)
+    head, tail = query.split(STEM_CTE, 1)
+    for w in sorted(asked, key=len, reverse=True):
+        tail = re.sub(rf"(?<![\w'])'{w}'(?![\w'])", f"(SELECT stem FROM stems WHERE word = '{w}')", tail)
+    return head + STEM_CTE + tail
+
+
+_ASKED = ["confession", "recovery", "murder", "302", "dying", "declaration", "evidence"]
+ORACLE |= {f"stem_{k}": _stemmed_sql(ORACLE[k], _ASKED) for k in [*BOOLEAN, *SEARCHES]}
+ORACLE |= {
+    "stem_tokens": f"WITH {STEM_CTE} SELECT doc_id, zone, term, pos FROM p",
+    "stemmed_vocab": f"WITH {STEM_CTE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term",
+    "stem_lookup": f"WITH {STEM_CTE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p WHERE term IN (SELECT stem FROM stems WHERE word IN ('confessions', 'recoveries', 'murdered', 'proceedings')) GROUP BY term",
+}

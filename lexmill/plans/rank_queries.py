@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import classifier, evaluation, graph, index, zones
-from lexmill.operators.ranking import Corpus, rank, signals
+from lexmill.operators import classifier, evaluation, graph, index, stored, zones
+from lexmill.operators.ranking import Corpus, rank, signals, statute_references
 from lexmill.plans import law_queries
-from lexmill.session import load
+from lexmill.session import load, once
 
 QUERY = "confession AND (murder OR recovery OR evidence)"
 
 
 def corpus(spark: SparkSession, sf: str) -> Corpus:
-    z = index.zone_texts(load(spark, sf, "judgments").select("doc_id", "zones"))
-    auth = graph.authority(graph.pagerank(law_queries._edges(spark, sf), tolerance=1e-6), law_queries._benches(spark, sf))
-    return Corpus(z, law_queries._docs(spark, sf), law_queries._citations(spark, sf), auth)
+    """What a ranking reads, stored by the first query of an application: the stemmed index, authority to convergence, statutes, citations."""
+    zones_of = lambda: index.zone_texts(load(spark, sf, "judgments").select("doc_id", "zones"))
+    auth = once(spark, f"authority {sf}", lambda: graph.authority(graph.pagerank(law_queries._edges(spark, sf)), law_queries._benches(spark, sf)))
+    refs = once(spark, f"statutes {sf}", lambda: statute_references(law_queries._docs(spark, sf)).repartition("doc_id").sortWithinPartitions("doc_id"))
+    cites = once(spark, f"citations {sf}", lambda: law_queries._citations(spark, sf))
+    return Corpus(zones_of(), law_queries._docs(spark, sf), cites, auth, stored.once(spark, sf, zones_of), refs)
 
 
 def rank_full(spark, sf):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lexmill/{spark.sparkContext.applicationId}"
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; deleted at its end."""
+    application = spark.sparkContext.applicationId
+    if application not in _registered:
+        _registered.add(application)
+        atexit.register(_release_quietly, spark)
+    return f"{shared_dir(spark).rstrip('/')}/lexmill/{application}"
 
 
 def release(spark: SparkSession) -> None:
@@ -55,7 +62,7 @@ def release(spark: SparkSession) -> None:
 
     Called at the end of the Python process by itself."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -69,6 +76,19 @@ def _release_quietly(spark: SparkSession) -> None:
 _registered: set[str] = set()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table called ``name`` of this application: built in the shared folder by the first that asks, read by all later ones."""
+    path = f"{own_dir(spark)}/once-{hashlib.sha1(name.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -76,10 +96,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation, and a non-deterministic stage is evaluated once.
     """
     spark = df.sparkSession
-    own = _own_dir(spark)
-    if own not in _registered:
-        _registered.add(own)
-        atexit.register(_release_quietly, spark)
-    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

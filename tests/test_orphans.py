@@ -3,6 +3,9 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from lexmill.operators import orphans
 from lexmill.operators.orphans import Reference, orphan_report, orphan_rows
 
 REF = "row_id long, key string, at timestamp, rng string, stays string"
@@ -56,3 +59,22 @@ def test_report_counts_rows_and_keys(spark):
     refs = [(1, "x", datetime(2021, 3, 4), None, None), (2, "X ", datetime(2021, 3, 9), None, None), (3, "y", None, None, None)]
     r = orphan_report({"a": Reference(spark.createDataFrame(refs, REF), "row_id", "key", "at")}, spark.createDataFrame([], PAR), "key", "since", "until")
     assert {tuple(x) for x in r.collect()} == {("a", "2021-03", 2, 1), ("a", None, 1, 1)}
+
+
+def test_ranges_follow_the_keys_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "KEYS_PER_RANGE", 50)
+    seen = {}
+    real = orphans._encoded
+
+    def spy(rows, parents, key, since, until, ranges):
+        out = real(rows, parents, key, since, until, ranges)
+        seen["most"] = max(r["count"] for r in out.groupBy("rng").agg({"ord": "max"}).select(F.col("max(ord)").alias("count")).collect())
+        return out
+
+    monkeypatch.setattr(orphans, "_encoded", spy)
+    at = datetime(2020, 1, 5)
+    refs = spark.createDataFrame([(i, f"missing{i}" if i % 3 else "hot", at) for i in range(1500)], "id long, k string, t timestamp")
+    empty = spark.createDataFrame([], "k string, a timestamp, b timestamp")
+    found = orphans.orphan_rows({"r": orphans.Reference(refs, "id", "k", "t")}, empty, "k", "a", "b")
+    assert found.count() == 1500
+    assert seen["most"] < 100

@@ -27,7 +27,7 @@ def test_a_cluster_needs_a_shared_folder():
 def test_tables_are_deleted(spark):
     t = session.materialise(spark.range(5), "numbers")
     assert t.count() == 5
-    own = session._own_dir(spark)
+    own = session.own_dir(spark)
     assert os.listdir(own)
     session.release(spark)
     assert not os.path.exists(own)
