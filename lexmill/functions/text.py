@@ -18,6 +18,13 @@ STOP = (
 PARTY_STOP = (
     "v vs versus and the of in re ors anr others another etc thr through rep represented by its m s ms mr mrs dr ltd pvt private limited co company sri shri smt kumari km alias a an for to on at with sq ldr retd"
 ).split()
+COMMON_NAME_WORDS = (
+    "singh kumar lal ram devi prasad das khan ali ahmed ahmad mohd mohammad mohammed sharma gupta verma yadav reddy rao "
+    "nair pillai patel shah jain mishra tiwari pandey chand nath bai begum bibi sahu babu raj kumari rani shri sri "
+    "state union india court high supreme government board commissioner corporation bank company municipal council "
+    "limited private public society trust india's"
+).split()
+GOVERNMENT_WORDS = "state union india government govt central public prosecutor cbi nct".split()
 ACRONYMS = ["ipc", "bns", "cbi", "ii", "iii", "iv", "ltd.", "u.p.", "m.p."]
 SMALL_WORDS = ["of", "and", "the", "for", "in", "v.", "by", "on", "to"]
 

@@ -10,7 +10,7 @@ from lexmill.functions.text import catalog_date, smart_title
 
 # What makes a title or a text look like a criminal matter, and the least length of a readable text.
 CRIMINAL_TITLE = r"(?i)\bSTATE\b|CENTRAL BUREAU|\bC\.?B\.?I\b|NARCOTIC|ENFORCEMENT|POLICE|UNION TERRITORY|\bN\.?C\.?T\b|SPECIAL CELL|INTELLIGENCE|CUSTOMS|NATIONAL INVESTIGATION|\bN\.?I\.?A\b|DIRECTORATE|CRIMINAL|GOVT\. OF|GOVERNMENT OF"
-CRIMINAL_TEXT = r"(?i)(?<!\w)(?:IPC|I\.P\.C\.|Penal\s+Code|BNS|Bharatiya\s+Nyaya\s+Sanhita|CrPC|Cr\.\s?P\.\s?C\.|Code\s+of\s+Criminal\s+Procedure|BNSS|NDPS|Narcotic\s+Drugs|Prevention\s+of\s+Corruption|UAPA|Unlawful\s+Activities|POCSO|Arms\s+Act|Dowry\s+Prohibition)(?!\w)"
+CRIMINAL_TEXT = r"(?i)(?<!\w)(?:IPC|I\.P\.C\.|Indian\s+Penal\s+Code|Penal\s+Code|BNS|Bharatiya\s+Nyaya\s+Sanhita|CrPC|Cr\.\s?P\.\s?C\.|Code\s+of\s+Criminal\s+Procedure|BNSS|Bharatiya\s+Nagarik\s+Suraksha\s+Sanhita|NDPS|Narcotic\s+Drugs|Prevention\s+of\s+Corruption|UAPA|Unlawful\s+Activities|POCSO|Protection\s+of\s+Children\s+from\s+Sexual|Arms\s+Act|Dowry\s+Prohibition)(?!\w)"
 LEAST_CHARS = 1500
 
 

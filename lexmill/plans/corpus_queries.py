@@ -165,6 +165,27 @@ def resolve_cascade(spark, sf):
     return ci.cascade(_keyed(spark, sf), ci.corpus_keys(j), ci.page_ranges(j))
 
 
+def _asked(spark, sf) -> DataFrame:
+    """Names of spans with the citation of a resolution of the same citing judgment's number: every mention has a name and some a key."""
+    r = load(spark, sf, "resolutions").select("mention_id", F.col("cited_raw")).distinct().groupBy("mention_id").agg(F.min(ci.reporter_key(F.col("cited_raw"))).alias("key"))
+    n = _names(spark, sf).select("mention_id", "name")
+    both = n.join(r, "mention_id", "full_outer")
+    year = F.split("key", r"\|")[1].cast("int")
+    return both.select("mention_id", F.when(F.col("key").isNull(), F.array().cast("array<string>")).otherwise(F.array("key")).alias("keys"), F.coalesce("name", F.lit("")).alias("name"), year.alias("year"))
+
+
+def resolve_full(spark, sf):
+    """Key, page range with a name that agrees, name, none."""
+    j = _judged(spark, sf)
+    return ci.resolved(_asked(spark, sf), ci.corpus_keys(j), ci.page_ranges(j), _titles(spark, sf)).select("mention_id", "doc_id", "method", F.round("score", 4).alias("score"))
+
+
+def mention_build(spark, sf):
+    """Every mention of every judgment, resolved, windowed, with its flags."""
+    j = load(spark, sf, "judgments").filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("title").alias("title"), F.min("decision_date").alias("date"), F.max("bench_size").alias("bench"), F.first("reporter_citations", ignorenulls=True).alias("reporter_citations"))
+    return ci.built(j.withColumn("year", tx.year_of(F.col("date")))).drop("window")
+
+
 def title_stopwords(spark, sf):
     """C6."""
     return ci.title_stopwords(_titles(spark, sf))
@@ -260,7 +281,7 @@ def bench_from_judges(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (catalog_dedup, title_search, criminal_titles, named_cases, fetch_plan, fetch_todo, corpus_status, corpus_skip_reasons, doc_meta_table, manifest, schema_violations, catalog_dates, titles_cased, party_sets, zones_cleaned, furniture_dropped, cite_keys, cite_key_resolve, page_range_resolve, resolve_cascade, title_stopwords, name_jaccard_resolve, appeal_history, resolution_rollup, resolver_spot_check, data_checks, found_cites, found_mentions, citation_windows, evidence_located, bench_from_judges)
+    for f in (catalog_dedup, title_search, criminal_titles, named_cases, fetch_plan, fetch_todo, corpus_status, corpus_skip_reasons, doc_meta_table, manifest, schema_violations, catalog_dates, titles_cased, party_sets, zones_cleaned, furniture_dropped, cite_keys, cite_key_resolve, page_range_resolve, resolve_cascade, resolve_full, mention_build, title_stopwords, name_jaccard_resolve, appeal_history, resolution_rollup, resolver_spot_check, data_checks, found_cites, found_mentions, citation_windows, evidence_located, bench_from_judges)
 }
 
 
@@ -329,6 +350,20 @@ ORACLE = {
     "cite_key_resolve": f"WITH {_KEYS}, {_CK} SELECT * FROM bk",
     "page_range_resolve": f"WITH {_KEYS}, {_PR} SELECT * FROM br",
     "resolve_cascade": f"WITH {_KEYS}, {_CK}, {_PR} SELECT k.mention_id, coalesce(bk.doc_id, br.doc_id) AS doc_id, CASE WHEN bk.doc_id IS NOT NULL THEN 'cite' WHEN br.doc_id IS NOT NULL THEN 'scr_range' ELSE 'none' END AS method FROM (SELECT DISTINCT mention_id FROM keyed) k LEFT JOIN bk USING (mention_id) LEFT JOIN br USING (mention_id)",
+    "resolve_full": f"""WITH {_CK.split(', bk AS')[0]}, {_PR.split(', ask AS')[0]}, {_STOPS}, st AS (SELECT list(token) AS s FROM sw),
+      rk AS (SELECT mention_id, min({_key_sql('cited_raw')}) AS key FROM resolutions GROUP BY mention_id), nm AS (SELECT DISTINCT span_id AS mention_id, name FROM name_spans WHERE name IS NOT NULL),
+      m AS (SELECT mention_id, key, coalesce(name, '') AS name, try_cast(split_part(key, '|', 2) AS INT) AS y FROM rk FULL JOIN nm USING (mention_id)),
+      a AS (SELECT *, {_tok('name')} AS f FROM m), b AS (SELECT doc_id, year, {_tok('title')} AS f FROM tt),
+      k AS (SELECT mention_id, any_value(uk.doc_id) AS doc_id FROM m JOIN uk USING (key) GROUP BY mention_id HAVING count(DISTINCT uk.doc_id) = 1),
+      last AS (SELECT mention_id, max_by(rg.doc_id, (a, b, rg.doc_id)) AS doc_id, max((a, b, rg.doc_id)) AS best, any_value(split_part(key, '|', 5)::INT) AS p FROM m JOIN rg ON regexp_matches(key, '^SCR\\|[0-9]+\\|[0-9]+\\|\\|') AND m.y = rg.y AND split_part(key, '|', 3)::INT = rg.v AND rg.a <= split_part(key, '|', 5)::INT GROUP BY mention_id),
+      r AS (SELECT l.mention_id, l.doc_id FROM last l JOIN rg USING (doc_id) JOIN a USING (mention_id) JOIN b ON b.doc_id = l.doc_id WHERE l.p <= rg.b AND {_jac('a.f', 'b.f')} >= 0.3 AND l.mention_id NOT IN (SELECT mention_id FROM m JOIN uk USING (key))),
+      o AS (SELECT mention_id, y, f, list_filter(f, lambda x: NOT list_contains(s, x)) AS g, CASE WHEN y IS NULL THEN 0.75 ELSE 0.5 END AS need FROM a CROSS JOIN st WHERE mention_id NOT IN (SELECT mention_id FROM k) AND mention_id NOT IN (SELECT mention_id FROM r)),
+      t AS (SELECT doc_id, year, f, list_filter(f, lambda x: NOT list_contains(s, x)) AS g FROM b CROSS JOIN st),
+      sc AS (SELECT mention_id, doc_id, need, {_jac('o.f', 't.f')} AS score FROM o JOIN t ON list_has_any(o.g, t.g) AND (y IS NULL OR abs(y - year) <= 1) WHERE {_jac('o.g', 't.g')} >= need),
+      w AS (SELECT *, row_number() OVER v AS rn, coalesce(lead(score) OVER v, 0) AS nx FROM sc WINDOW v AS (PARTITION BY mention_id ORDER BY score DESC, doc_id DESC)),
+      n AS (SELECT mention_id, doc_id, score FROM w WHERE rn = 1 AND score >= need AND score - nx >= 0.1)
+      SELECT m.mention_id, coalesce(k.doc_id, r.doc_id, n.doc_id) AS doc_id, CASE WHEN k.doc_id IS NOT NULL THEN 'cite' WHEN r.doc_id IS NOT NULL THEN 'scr_range' WHEN n.doc_id IS NOT NULL THEN 'name' ELSE 'none' END AS method,
+        round(CASE WHEN k.doc_id IS NOT NULL OR r.doc_id IS NOT NULL THEN 1.0 ELSE coalesce(n.score, 0.0) END, 4)::DOUBLE AS score FROM m LEFT JOIN k USING (mention_id) LEFT JOIN r USING (mention_id) LEFT JOIN n USING (mention_id)""",
     "title_stopwords": f"WITH {_STOPS} SELECT * FROM sw",
     "name_jaccard_resolve": f"WITH {_STOPS}, {_NM}, st AS (SELECT list(token) AS s FROM sw), a AS (SELECT mention_id, {_tok('name')} AS f FROM nm), a2 AS (SELECT mention_id, f, list_filter(f, lambda x: NOT list_contains(s, x)) AS r FROM a CROSS JOIN st), b AS (SELECT doc_id, {_tok('title')} AS f FROM tt), b2 AS (SELECT doc_id, f, list_filter(f, lambda x: NOT list_contains(s, x)) AS r FROM b CROSS JOIN st), au AS (SELECT mention_id, unnest(r) AS token FROM a2), bu AS (SELECT doc_id, unnest(r) AS token FROM b2), pr AS (SELECT DISTINCT mention_id, doc_id FROM au JOIN bu USING (token)), sc AS (SELECT mention_id, doc_id, {_jac('a2.f', 'b2.f')} AS score FROM pr JOIN a2 USING (mention_id) JOIN b2 USING (doc_id) WHERE {_jac('a2.r', 'b2.r')} >= 0.75), k AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS nx FROM sc WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, doc_id DESC)) SELECT mention_id, doc_id, round(score, 4) AS score FROM k WHERE rn = 1 AND score >= 0.75 AND score - nx >= 0.1",
     "appeal_history": f"WITH {_TT}, {_NM}, x AS (SELECT mention_id, {_private('title')} AS p, {_private('name')} AS q, {_tok('name')} AS n FROM nm JOIN tt ON tt.doc_id = nm.citing_doc) SELECT mention_id, len(p) > 0 AND len(q) > 0 AND {_jac('p', 'q')} >= 0.6 AS same, len(p) > 0 AND len(list_filter(p, lambda z: NOT list_contains(n, z))) = 0 AS own FROM x",
