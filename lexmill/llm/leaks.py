@@ -13,6 +13,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -104,32 +105,49 @@ def _reproduced(doc: list[str], item: list[str], hits: list[tuple[int, int]]) ->
     return total / len(item)
 
 
+_automata: dict[str, tuple[dict[int, list[str]], WuManber]] = {}
+
+
+def _automaton(name: str, block) -> tuple[dict[int, list[str]], WuManber]:
+    """A block's items and automaton, built once by a worker and kept until it turns to another block."""
+    if name not in _automata:
+        _automata.clear()
+        items = block.value
+        _automata[name] = items, WuManber(items.items())
+    return _automata[name]
+
+
 def leaked_pairs(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, pass_words: int = PASS_WORDS) -> DataFrame:
     """(doc_id, item_id, share): documents that reproduce at least two fifths of an item's words.
 
     The items are the stated query set: they are searched for in every whole
-    document, in blocks of at most ``pass_words`` words, in one narrow pass per
-    block without a shuffle of the corpus.  NULL or empty texts and ids match
+    document, in blocks of at most ``pass_words`` words (the bound of what is
+    sent to a worker at once), in one narrow pass per block without a shuffle of
+    the corpus.  NULL or empty texts and ids match
     nothing; items under five words are no passages; repeated rows give one
     row.  Columns of other names are ignored.
     """
     rows = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
-    blocks: list[dict[int, list[str]]] = [{}]
+    context = docs.sparkSession.sparkContext
+    blocks = []
+    block: dict[int, list[str]] = {}
     size = 0
+    # Items come one partition at a time and leave the driver's memory with their block.
     for r in rows.toLocalIterator():
         w = words(r["t"])
-        if size + len(w) > pass_words and blocks[-1]:
-            blocks.append({})
-            size = 0
-        blocks[-1][r["i"]] = w
+        if size + len(w) > pass_words and block:
+            blocks.append((uuid.uuid4().hex, context.broadcast(block)))
+            block, size = {}, 0
+        block[r["i"]] = w
         size += len(w)
+    blocks.append((uuid.uuid4().hex, context.broadcast(block)))
     kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, share double"
     base = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     found = None
-    for block in blocks:
+    for name, sent in blocks:
 
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            automaton = WuManber(block.items())
+        def search(batches: Iterator[pd.DataFrame], name=name, sent=sent) -> Iterator[pd.DataFrame]:
+            block, automaton = _automaton(name, sent)
             for b in batches:
                 out = []
                 for d, t in zip(b["d"], b["t"]):
