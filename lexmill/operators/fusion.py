@@ -37,9 +37,10 @@ def identity(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
-def normalised(rows: DataFrame, by: str = "qid") -> DataFrame:
-    """Signals on one scale, as ``n_<signal>``; a missing signal is 0 and a not-a-number one too."""
-    given = {s: F.coalesce(F.when(~F.isnan(s), F.col(s)), F.lit(0.0)) for s in SIGNALS}
+def normalised(rows: DataFrame, by: str = "qid", strict: bool = False) -> DataFrame:
+    """Signals on one scale, as ``n_<signal>``; a missing signal is 0 and a not-a-number one too, or an error if ``strict``."""
+    absent = lambda s: F.raise_error(F.concat(F.lit(f"no {s} of "), F.coalesce(F.col("doc_id"), F.lit("a document")))).cast("double") if strict else F.lit(0.0)
+    given = {s: F.coalesce(F.when(~F.isnan(s), F.col(s)), absent(s)) for s in SIGNALS}
     return rows.withColumns(given).withColumns({f"n_{s}": minmax(F.col(s), by) if s in MINMAX else identity(F.col(s)) for s in SIGNALS})
 
 
@@ -49,9 +50,9 @@ def configs_table(df: DataFrame, configs: Mapping[str, Mapping[str, float]]) ->
     return df.sparkSession.createDataFrame(rows, "config string, " + ", ".join(f"w_{s} double" for s in SIGNALS))
 
 
-def fused(rows: DataFrame, configs: Mapping[str, Mapping[str, float]] = CONFIGS) -> DataFrame:
+def fused(rows: DataFrame, configs: Mapping[str, Mapping[str, float]] = CONFIGS, strict: bool = False) -> DataFrame:
     """Every candidate under every configuration with ``final``: the stated weightings meet each row on its own."""
-    n = normalised(rows)
+    n = normalised(rows, strict=strict)
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), *[F.lit(weights(w)[s]).alias(f"w_{s}") for s in SIGNALS]) for c, w in configs.items()]))
     wide = n.withColumn("c", each).select("*", "c.*").drop("c")
     return wide.withColumn("final", identity(sum((F.col(f"w_{s}") * F.col(f"n_{s}") for s in SIGNALS), F.lit(0.0))))

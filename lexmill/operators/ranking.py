@@ -63,5 +63,5 @@ def signals(corpus: Corpus, query: str, offence_date: str | None = None, n: int
 
 def rank(corpus: Corpus, query: str, offence_date: str | None = None, config: str = "full", k: int = 10) -> DataFrame:
     """(rank, doc_id, final, why): the k best of a query under a configuration, explained."""
-    rows = fusion.ranked(fusion.fused(signals(corpus, query, offence_date), {config: fusion.CONFIGS[config]}), k)
+    rows = fusion.ranked(fusion.fused(signals(corpus, query, offence_date), {config: fusion.CONFIGS[config]}, strict=True), k)
     return rows.select("rank", "doc_id", F.round("final", 6).alias("final"), F.concat_ws(" | ", fusion.explanation(), "cont_why").alias("why"))

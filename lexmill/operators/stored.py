@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window  # noqa: F401
 
 from lexmill.functions.stem import stem_tokens
 from lexmill.functions.text import tokens
@@ -134,9 +135,64 @@ def lnc_ltc(ix: Index, words: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(F.sum((1 + F.log10("tf")) / F.col("norm") * F.col("wq") / F.nullif("qnorm", F.lit(0.0))), F.lit(0.0)).alias("score"))
 
 
+def estimate(tree, df: dict[str, int], docs: int) -> int:
+    """An upper bound on the documents that match: the rarest part of what must all hold, the sum of alternatives, all of a negation."""
+    if isinstance(tree, boolean.Term):
+        return df.get(tree.word, 0)
+    if isinstance(tree, boolean.Phrase):
+        return min(df.get(w, 0) for w in tree.words)
+    if isinstance(tree, boolean.Near):
+        return min(estimate(tree.left, df, docs), estimate(tree.right, df, docs))
+    if isinstance(tree, boolean.And):
+        return min((estimate(p, df, docs) for p in tree.parts if not isinstance(p, boolean.Not)), default=docs)
+    if isinstance(tree, boolean.Or):
+        return min(docs, sum(estimate(p, df, docs) for p in tree.parts))
+    return docs
+
+
+def planned(tree, df: dict[str, int], docs: int):
+    """The same query with the parts of each AND from the rarest on, so that later parts meet few documents."""
+    if isinstance(tree, (boolean.And, boolean.Or)):
+        parts = [planned(p, df, docs) for p in tree.parts]
+        if isinstance(tree, boolean.And):
+            parts.sort(key=lambda p: estimate(p, df, docs))
+        return type(tree)(tuple(parts))
+    return boolean.Not(planned(tree.child, df, docs)) if isinstance(tree, boolean.Not) else tree
+
+
+def statistics(ix: Index, words: list[str]) -> dict[str, tuple[int, int]]:
+    """word -> (documents, occurrences) of a query's words, as many as it has."""
+    rows = ix.vocabulary.filter(F.col("term").isin(words)).collect()
+    return {r["term"]: (r["df"], r["cf"]) for r in rows}
+
+
+def work(ix: Index, queries: list[str]) -> DataFrame:
+    """(query, estimate, postings, positions): the bound on the matches and what answering reads of the index; bags of words are added up."""
+    docs = ix.totals.first()["docs"]
+    rows = []
+    for q in queries:
+        try:
+            tree = boolean.parse(q, ix.stems)
+            words = list(dict.fromkeys(boolean.terms(tree)))
+        except ValueError:
+            words = list(dict.fromkeys(ix.words(q)))
+            tree = boolean.Or(tuple(map(boolean.Term, words)))
+        have = statistics(ix, words)
+        rows.append((q, estimate(tree, {w: n for w, (n, _) in have.items()}, docs), sum(n for n, _ in have.values()), sum(c for _, c in have.values())))
+    return ix.postings.sparkSession.createDataFrame(rows, "query string, estimate long, postings long, positions long")
+
+
 def candidates(ix: Index, query: str) -> tuple[DataFrame, list[str]]:
-    """(documents, terms to score) of a query; one that cannot be parsed is a bag of words."""
-    return boolean.candidates(query, ix.positions, ix.norms, ix.stems)
+    """(documents, terms to score) of a query, the rarest parts first; one that cannot be parsed is a bag of words."""
+    try:
+        tree = boolean.parse(query, ix.stems)
+    except ValueError:
+        return boolean.candidates(query, ix.positions, ix.norms, ix.stems)
+    words = list(dict.fromkeys(boolean.terms(tree)))
+    if "And(" in repr(tree):
+        df = {w: n for w, (n, _) in statistics(ix, words).items()}
+        tree = planned(tree, df, ix.totals.first()["docs"])
+    return boolean.evaluate(tree, ix.positions, ix.norms), words
 
 
 def search(ix: Index, query: str, k: int) -> DataFrame:

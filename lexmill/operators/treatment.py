@@ -20,9 +20,11 @@ def valid_negative(label: Column, citing: Column, cited: Column) -> Column:
     return F.coalesce(label.isin(list(STRENGTH)) & (citing >= cited), F.lit(False))
 
 
-def labelled(mentions: DataFrame, cache: DataFrame, key: str, in_scope: Column) -> DataFrame:
-    """Mentions with label and confidence from a keyed cache; outside the scope neutral, in it NULL where the cache has none."""
+def labelled(mentions: DataFrame, cache: DataFrame, key: str, in_scope: Column, strict: bool = False) -> DataFrame:
+    """Mentions with label and confidence from a keyed cache; outside the scope neutral, in it NULL (an error if ``strict``) where the cache has none."""
     found = mentions.join(cache.select(key, "label", "confidence"), key, "left")
+    if strict:
+        found = found.withColumn("label", F.when(in_scope & F.col("label").isNull(), F.raise_error(F.concat(F.lit("no label of "), F.coalesce(F.col(key).cast("string"), F.lit("a mention"))))).otherwise(F.col("label")))
     return found.withColumn("label", F.when(in_scope, F.col("label")).otherwise("neutral")).withColumn("confidence", F.when(in_scope, F.col("confidence")).otherwise(0.0))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.stem import stemmed
 from lexmill.functions.text import LEGAL, LEGAL_NUMBER, STOP
-from lexmill.operators import boolean, index, scoring, stored
+from lexmill.operators import boolean, feasibility, index, scoring, stored
 from lexmill.plans.sqltext import STEM_CTE, WEIGHT_CASE, ZONE_CTE, raw_tokens_of, words
 from lexmill.session import load
 
@@ -145,6 +145,29 @@ def _rank_cosine(spark, sf, stems):
     return scoring.top_k(scored.select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score")), 10)
 
 
+def naive_matches(spark, sf):
+    """What the plain set operations find, from left to right."""
+    tree = boolean.parse('(confession OR recovery) AND NOT (murder /3 charge) AND NOT "dying declaration"')
+    return boolean.evaluate_one_by_one(tree, _pos(spark, sf), _zones(spark, sf))
+
+
+WORKED = ["confession AND recovery AND NOT murder", "confession OR recovery", '"dying declaration"', "NOT confession", "confession /3 evidence"]
+
+
+def query_work(spark, sf):
+    """The bound on a query's matches and what answering it reads."""
+    return stored.work(_index(spark, sf), WORKED)
+
+
+FEASIBLE = [("f1", "confession AND recovery section 302"), ("f2", "dying declaration"), ("f3", "unheardofword 9999"), ("f4", "section 498A 302")]
+
+
+def query_feasibility(spark, sf):
+    """Candidates, documents with every telling word and with each section, and a verdict, for stated queries."""
+    texts = load(spark, sf, "judgments").filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return feasibility.feasibility(_index(spark, sf), texts, FEASIBLE)
+
+
 #: Searches over a stored index, of words as they stand and (``stem_...``) of stems.
 SEARCHES = {
     "bm25_zone": (_bm25_zone, "K1, K2"),
@@ -204,7 +227,7 @@ BOOLEAN = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, postings, vocab_df, top_terms, doc_norms, zone_stats, postings_in_zone, top_documents, token_fate, stemmed_vocab, naive_differs, phrase_per_zone, bow_fallback, param_filter, spearman, overlap_at_10, stem_tokens, stem_lookup)
+    for f in (tokenize, postings, vocab_df, top_terms, doc_norms, zone_stats, postings_in_zone, top_documents, token_fate, stemmed_vocab, naive_differs, phrase_per_zone, bow_fallback, param_filter, spearman, overlap_at_10, stem_tokens, stem_lookup, naive_matches, query_work, query_feasibility)
 } | {k: _match(q) for k, q in BOOLEAN.items()} | {f"stem_{k}": _match(q, True) for k, q in BOOLEAN.items()}
 QUERIES |= {p + k: _over(way, doc, bool(p)) for p in ("", "stem_") for k, (way, doc) in SEARCHES.items()}
 
@@ -294,3 +317,37 @@ ORACLE |= {
     "stemmed_vocab": f"WITH {STEM_CTE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term",
     "stem_lookup": f"WITH {STEM_CTE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p WHERE term IN (SELECT stem FROM stems WHERE word IN ('confessions', 'recoveries', 'murdered', 'proceedings')) GROUP BY term",
 }
+
+
+def _df(*terms: str) -> str:
+    return f"(SELECT count(DISTINCT doc_id) FROM p WHERE term = '{terms[0]}')" if len(terms) == 1 else f"least({', '.join(_df(t) for t in terms)})"
+
+
+def _work(query: str, estimate: str, terms: list[str]) -> str:
+    return f"SELECT '{query}' AS query, {estimate} AS estimate, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM p WHERE term IN ({words(terms)}))) AS postings, (SELECT count(*) FROM p WHERE term IN ({words(terms)})) AS positions"
+
+
+def _feasible(qid: str, matched: str, every: list[str] | None, sections: list[str]) -> str:
+    both = " INTERSECT ".join(_has(w) for w in every) if every else ""
+    all_terms = f"(SELECT count(*) FROM ({both}))" if every else "NULL::BIGINT"
+    lead, more = feasibility._LEAD, feasibility._MORE
+    named = lambda n: f"(SELECT count(*) FROM jt WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9]){lead}{more}{n}([^A-Za-z0-9]|$)'))"
+    rows = [(f"'{n}'", named(n)) for n in sections] or [("NULL::VARCHAR", "NULL::BIGINT")]
+    return " UNION ALL ".join(f"SELECT '{qid}' AS qid, (SELECT count(*) FROM ({matched})) AS candidates, {all_terms} AS all_terms, {n} AS section, {c} AS documents" for n, c in rows)
+
+
+_DOCS = "(SELECT count(DISTINCT doc_id) FROM z)"
+_BAG = lambda *terms: f"SELECT DISTINCT doc_id FROM p WHERE term IN ({words(terms)})"
+ORACLE |= {
+    "naive_matches": f"{_W} ({_has('confession')} UNION {_has('recovery')}) EXCEPT ({_near('murder', 'charge', 3)}) EXCEPT ({ORACLE['phrase'].split(ZONE_CTE, 1)[1]})",
+    "query_work": f"{_W} " + " UNION ALL ".join([
+        _work(WORKED[0], _df("confession", "recovery"), ["confession", "recovery", "murder"]), _work(WORKED[1], f"least({_DOCS}, {_df('confession')} + {_df('recovery')})", ["confession", "recovery"]),
+        _work(WORKED[2], _df("dying", "declaration"), ["dying", "declaration"]), _work(WORKED[3], _DOCS, ["confession"]), _work(WORKED[4], _df("confession", "evidence"), ["confession", "evidence"]),
+    ]),
+    "query_feasibility": f"{_W}, jt AS (SELECT doc_id, min(text) AS text FROM judgments WHERE doc_id IS NOT NULL GROUP BY doc_id), f AS ("
+    + " UNION ALL ".join([
+        _feasible("f1", _BAG("confession", "recovery", "section", "302"), ["confession", "recovery", "section"], ["302"]), _feasible("f2", _BAG("dying", "declaration"), ["dying", "declaration"], []),
+        _feasible("f3", _BAG("unheardofword", "9999"), ["unheardofword"], ["9999"]), _feasible("f4", _BAG("section", "498a", "302"), ["section"], ["498a", "302"]),
+    ])
+    + ") SELECT *, CASE WHEN min(least(candidates, all_terms, documents)) OVER (PARTITION BY qid) = 0 THEN 'empty' WHEN min(least(all_terms, documents)) OVER (PARTITION BY qid) <= 3 THEN 'thin' ELSE 'ok' END AS verdict FROM f",
+}

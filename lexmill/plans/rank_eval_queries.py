@@ -162,6 +162,14 @@ def tune_grid(spark, sf):
     return per.groupBy("config").agg(F.round(F.avg("p10"), 6).alias("p10"))
 
 
+def tune_winner(spark, sf):
+    """The best weighting: by the metric, then nearest to the stated one, then the smallest weights in order."""
+    start = fu.weights("full")
+    w = [F.split("config", ",")[i].cast("double") for i in range(len(fu.SIGNALS))]
+    away = F.round(sum((F.abs(x - start[s]) for x, s in zip(w, fu.SIGNALS)), F.lit(0.0)), 12)
+    return tune_grid(spark, sf).orderBy(F.desc(F.round("p10", 12)), away, *w).limit(1)
+
+
 def ablation_grouping_sets(spark, sf):
     """Metric means by system, and by system and parity of the query number, in one pass."""
     m = _metrics(spark, sf).withColumn("kind", F.when(F.substring("qid", -1, 1).cast("int") % 2 == 0, "even").otherwise("odd"))
@@ -188,12 +196,12 @@ def paired_bootstrap(spark, sf):
     """nDCG of the zone system less the cosine system."""
     m = _metrics(spark, sf)
     a, b = (m.filter(F.col("system") == s).select("qid", F.col("ndcg10").alias(c)) for s, c in (("lnc_ltc", "a"), ("zone_bm25", "b")))
-    return ev.bootstrap(a.join(b, "qid").withColumn("pair", F.lit("zone_bm25 - lnc_ltc")), "a", "b", n_boot=2000)
+    return ev.bootstrap(a.join(b, "qid").withColumn("pair", F.lit("zone_bm25 - lnc_ltc")), "a", "b")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (minmax_norm, compare_configs, explained, evidence_shown, contract_checks, metrics, metric_means, pool_union, pool_overlap, drop_judged, default_grades, blind_order, judge_sheet, sheet_check, reconcile, merge_qrels, confusion, simplex_grid, tune_grid, ablation_grouping_sets, harmful_rank_pivot, check_cube, paired_bootstrap)
+    for f in (minmax_norm, compare_configs, explained, evidence_shown, contract_checks, metrics, metric_means, pool_union, pool_overlap, drop_judged, default_grades, blind_order, judge_sheet, sheet_check, reconcile, merge_qrels, confusion, simplex_grid, tune_grid, tune_winner, ablation_grouping_sets, harmful_rank_pivot, check_cube, paired_bootstrap)
 } | {"fuse_full": _fuse("full"), "fuse_b1": _fuse("b1"), "fuse_b0": _fuse("b0"), "kappa": _kappa(False), "kappa_quadratic": _kappa(True)}
 
 _S = "s AS (SELECT DISTINCT qid, doc_id, rel, coalesce(cont, 0) AS cont, coalesce(health, 0) AS health, coalesce(auth, 0) AS auth FROM signal_rows WHERE rel IS NOT NULL AND qid IS NOT NULL AND doc_id IS NOT NULL)"
@@ -247,3 +255,5 @@ ORACLE = {
     "harmful_rank_pivot": f"WITH {_RUN}, harm AS (SELECT DISTINCT doc_id FROM evidence WHERE label = 'overruled') SELECT qid, doc_id, min(rn) FILTER (system = 'flat_bm25') AS flat_bm25, min(rn) FILTER (system = 'lnc_ltc') AS lnc_ltc, min(rn) FILTER (system = 'zone_bm25') AS zone_bm25 FROM run SEMI JOIN harm USING (doc_id) GROUP BY ALL HAVING min(rn) <= 10",
     "check_cube": f"WITH {_QR}, r AS (SELECT grade, auth > 0.01 AS cited FROM s JOIN qr USING (qid, doc_id)) SELECT grade, cited, count(*) AS n, grouping_id(grade, cited)::INT AS level FROM r GROUP BY CUBE (grade, cited)",
 }
+_START = fu.weights("full")
+ORACLE["tune_winner"] = f"SELECT config, p10 FROM ({ORACLE['tune_grid']}) ORDER BY p10 DESC, round({' + '.join(f"abs(split_part(config, ',', {i})::DOUBLE - {_START[s]!r})" for i, s in enumerate(fu.SIGNALS, 1))}, 12), {', '.join(f"split_part(config, ',', {i})::DOUBLE" for i in range(1, 5))} LIMIT 1"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from lexmill.session import exists
 from pyspark.sql import types as T
 
 
@@ -55,10 +57,8 @@ def complete(df: DataFrame, stored: dict[str, int]) -> bool:
 
 
 def append_only_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Rows of ``df`` whose key a stored table does not have yet."""
+    """Rows of ``df`` whose key a stored table does not have yet; all where nothing is stored.  A table that cannot be read is an error."""
     spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001  nothing is stored yet
+    if not exists(spark, path):
         return df
-    return df.join(have, key, "left_anti")
+    return df.join(spark.read.parquet(path).select(key), key, "left_anti")
