@@ -39,3 +39,22 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``pred`` and its probability; NULL windows are read as empty."""
     out = model.transform(rows.withColumn("window", F.coalesce("window", F.lit(""))))
     return out.withColumn("probability", F.array_max(vector_to_array("probability"))).drop("words", "pairs", "tf1", "tf2", "x1", "x2", "x", "rawPrediction", "prediction")
+
+
+def cross_validated(rows: DataFrame, folds: int = 5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Every labelled window with the label that a model fitted on the other folds predicts.
+
+    Folds are by the window's hash, so equal windows are never on both sides.
+    Rows without a window or label are left out; a fold whose others are empty
+    predicts nothing.
+    """
+    if folds < 2:
+        raise ValueError("two folds at least")
+    known = rows.filter("window is not null and label is not null").withColumn("fold", F.pmod(F.xxhash64("window"), F.lit(folds)).cast("int"))
+    out = None
+    for i in range(folds):
+        rest = known.filter(F.col("fold") != i)
+        if rest.limit(1).count():
+            part = predict(fit(rest, fit_rows), known.filter(F.col("fold") == i)).select(*known.columns, "pred")
+            out = part if out is None else out.unionByName(part)
+    return known.limit(0).withColumn("pred", F.lit(None).cast("string")) if out is None else out
