@@ -247,8 +247,8 @@ def citation_windows(spark, sf):
 
 
 def _plain(c):
-    """Letters and digits alone, lower-case, words a space apart."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\[\[|\]\]", " "), "[^a-z0-9]+", " "))
+    """Letters, with their marks, and digits of any script alone, lower-case, words a space apart."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def _paragraphs(text):
@@ -263,7 +263,9 @@ def _paragraphs(text):
 
 def evidence_located(spark, sf):
     """Evidence found in the judgment that holds it: a paragraph has the passage's start or middle, 70 characters, case and punctuation aside."""
-    e = load(spark, sf, "evidence").filter("sentence is not null and citing_doc is not null").select("evidence_id", F.trim("citing_doc").alias("doc_id"), _plain(F.col("sentence")).alias("n")).distinct().filter(F.length("n") >= 24)
+    e = load(spark, sf, "evidence").filter("sentence is not null and citing_doc is not null").select("evidence_id", F.trim("citing_doc").alias("doc_id"), _plain(F.col("sentence")).alias("n")).distinct()
+    # Bytes, as a letter says more in scripts with many; of a to z they are as many as letters.
+    e = e.filter(F.octet_length("n") >= 24)
     half = F.floor(F.length("n") / 2).cast("int")
     low = F.greatest(half - 35, F.lit(0))
     e = e.select("evidence_id", "doc_id", F.substring("n", 1, 70).alias("start"), F.substring("n", low + 1, half + 35 - low).alias("middle"))

@@ -55,3 +55,12 @@ def test_authority_over_converged_pagerank(spark, tmp_path):
     want = {d: x / max(raw.values()) for d, x in raw.items()}
     got = {r["id"]: r["authority"] for r in law_queries.authority(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-7)
+
+
+def test_evidence_in_other_scripts_is_located(spark, tmp_path):
+    hindi, tamil = "क्या ऐसी स्थिति में दोषसिद्धि टिक सकती है?", "இந்த நிலையில் தண்டனை நிலைக்குமா என்பது கேள்வி"
+    put(spark, tmp_path, "evidence", [("verbatim", "a", hindi), ("punctuation", "a", tamil), ("other marks", "a", hindi.replace("ि", "ी")), ("elsewhere", "b", hindi), ("few letters", "a", "这样的定罪能够成立吗？")], "evidence_id string, citing_doc string, sentence string")
+    text = f"The nazir sealed the roll.\n\nHeld: {hindi} No.\n\n{tamil.replace(' ', ', ', 1)}.这样的定罪能够成立吗"
+    put(spark, tmp_path, "judgments", [("a", text, "t"), ("b", tamil, "t")], "doc_id string, text string, title string")
+    got = sorted(r["evidence_id"] for r in corpus_queries.evidence_located(spark, str(tmp_path)).collect())
+    assert got == ["few letters", "punctuation", "verbatim"]
